@@ -57,10 +57,13 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
+        self.paths: dict[str, list[str]] = {}
+        self.made = 0
 
     def path(self, name: str) -> str:
-        self.paths[name] = p = f"{self.base}/{name}-{len(self.paths)}"
+        self.made += 1
+        p = f"{self.base}/{name}-{self.made}"
+        self.paths.setdefault(name, []).append(p)
         return p
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -70,8 +73,8 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         for n in names:
-            if n in self.paths:
-                delete_path(self.spark, self.paths.pop(n))
+            for p in self.paths.pop(n, ()):
+                delete_path(self.spark, p)
 
     def result(self, df: DataFrame) -> DataFrame:
         out = self.table(df, "result")

@@ -27,6 +27,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("verified")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosen_path import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,8 +53,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conv_quality import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_pii, op4_warc, op8_packing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_mixing, op3_pii, op4_warc, op5_quality_rules, op7_chosen_path, op8_packing, op9_exact_dedup, op10_conv_quality)}
 
 
 OP9_SQL = r"""
