@@ -90,7 +90,7 @@ def language_words(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
     return own.unionByName(tops.where(F.col("lang") == POOLED)).select("lang", F.transform("tops", lambda x: x["word"]).alias("words"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), min_words: int = 50, max_repeat: int = 50, max_class_distance: float = 0.2, max_word_distance: float = 0.75) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), min_words: int = 50, max_repeat: int = 50, max_class_distance: float = 0.28, max_word_distance: float = 0.45) -> DataFrame:
     """Base counts, distances to the language reference and the verdict of each row.
 
     Returns id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance,

@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("span_starts", "span_ends")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -61,7 +67,7 @@ def op10_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_pii, op4_warc, op5_quality_rules, op7_chosen_path, op8_packing, op9_exact_dedup, op10_conv_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_pii, op4_warc, op5_quality_rules, op7_chosen_path, op8_packing, op9_exact_dedup, op10_conv_quality)}
 
 
 OP9_SQL = r"""
