@@ -1,4 +1,95 @@
+"""A training corpus from documents: quality rules, exact and near deduplication, source mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm._common import WHITE, Workspace, sized
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of docs whose id has no row that was dropped, or at least one that stays (ids compared null-safely)."""
+    verdict = decided.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("any")).where("not any")
+    return docs.join(sized(verdict, 500_000), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the quality rules reject go."""
+    from tessera.llm.quality_rules import quality_rules
+
+    kept = quality_rules(docs, carry=tuple(docs.columns))
+    return kept.where("kept").select(docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: one document of each group of equal texts stays, also where rows repeat an id."""
+    from tessera.llm.exact_dedup import exact_dedup
+
+    decided = exact_dedup(docs)
+    stay = _without(docs, decided)
+    twice = decided.groupBy(F.col("doc_id").alias("twice_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("twice_id")
+    if twice.isEmpty():
+        return stay
+    again = stay["doc_id"].eqNullSafe(F.col("twice_id"))
+    bare = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE, ""), 256)
+    repeated = stay.join(twice, again, "left_semi").withColumn("bare_sha", bare)
+    keys = decided.where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    repeated = repeated.join(keys, repeated["doc_id"].eqNullSafe(F.col("kept_id")) & (F.col("bare_sha") == F.col("text_sha256")), "left_semi")
+    return stay.join(twice, again, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "bare_sha"]).drop("bare_sha"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each component of near copies stays."""
+    from tessera.llm.chosen_path import near_dedup
+
+    return _without(docs, near_dedup(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: a document stays as often as the mix takes it, none to twice (its rows repeat).
+
+    The mix takes runs of blocks, so all but a source's two boundary documents are taken whole; those are rounded.
+    """
+    from tessera.llm.mixing import mix
+
+    taken = mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    taken = taken.select("mixed_id", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times")).where("times > 0")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[joined[c] for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the documents of the mix, cut and packed into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    from tessera.llm.packing import pack
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("source mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Tokenisation and sketches are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
-STAGES = []
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written to the shared folder and read again by the next."""
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = ws.table(docs, f"stage{i}")
+    return ws.result(docs)

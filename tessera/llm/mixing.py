@@ -2,8 +2,8 @@
 
 DataFrame and SQL functions only. Each source's documents form one stream of words in a seeded order, cut into
 blocks of equal size. The blocks of the mix are allocated to the sources by highest quotients target / (2q + 1); a
-source takes all its blocks as often as its quota allows and the rest by a seeded bijection of the block numbers, so
-no ranking of all blocks is needed. Offsets in the stream are two-level prefix sums (hash bucket, then row), so one
+source takes all its blocks as often as its quota allows and the rest as a run of blocks from a seeded start: since
+the order is random, the run is a random choice, it keeps documents whole, and no ranking of all blocks is needed. Offsets in the stream are two-level prefix sums (hash bucket, then row), so one
 source may hold most rows.
 """
 
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, Workspace, text_of
 
-#: A prime above any block number: multiplying by it permutes the numbers modulo a smaller one.
-PRIME = 2147483647
-
 
 def target_levels(sources: DataFrame, total: Column, cap: float) -> DataFrame:
     """Adds ``target``: total shared by weight, none above cap * source_size, the excess reshared by weight.
@@ -46,8 +43,7 @@ def apportion(sources: DataFrame, seats: Column) -> DataFrame:
     s = s.withColumn("slack", slack)
     s = s.withColumn("sure", F.least(F.greatest(F.floor("share") - F.col("slack"), F.lit(0)), F.col("max_quota")))
     s = s.withColumn("open", F.col("seats") - F.sum("sure").over(whole))
-    top = F.least(F.floor("share") + F.col("slack"), F.col("max_quota") - 1)
-    c = s.select("rank", "open", "target", F.explode(F.expr("CASE WHEN least(floor(share) + slack, max_quota - 1) >= sure THEN sequence(sure, least(floor(share) + slack, max_quota - 1)) END")).alias("seat")) if top is not None else s
+    c = s.select("rank", "open", "target", F.explode(F.expr("CASE WHEN least(floor(share) + slack, max_quota - 1) >= sure THEN sequence(sure, least(floor(share) + slack, max_quota - 1)) END")).alias("seat"))
     c = c.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.col("target") / (2 * F.col("seat") + 1)), "rank")))
     won = c.where("place <= open").groupBy("rank").agg(F.count(F.lit(1)).alias("won"))
     return s.join(F.broadcast(won), "rank", "left").withColumn("quota", F.col("sure") + F.coalesce("won", F.lit(0))).drop("seats", "share", "slack", "sure", "open", "won")
@@ -77,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell").over(before), F.lit(0)))
     plan = cells.withColumnRenamed("source", "s").join(sources.drop("weight"), F.col("s").eqNullSafe(F.col("source")))
-    plan = plan.select("s", F.col("bucket").alias("b"), "cell_start", "source_size", "target", "n_blocks", "quota")
+    plan = plan.select("s", F.col("bucket").alias("b"), "cell_start", "source_size", "target", "n_blocks", "quota", F.pmod(F.xxhash64(F.lit(seed), "s"), F.greatest("n_blocks", F.lit(1))).alias("shift"))
     within = Window.partitionBy("source", "bucket").orderBy("ord", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
@@ -85,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n, q = F.col("n_blocks"), F.col("quota")
 
     def words(j: Column) -> Column:
-        times = F.floor(q / n) + F.when(F.pmod(j * F.lit(PRIME) + F.lit(seed), n) < F.pmod(q, n), 1).otherwise(0)
+        times = F.floor(q / n) + F.when(F.pmod(j + F.col("shift"), n) < F.pmod(q, n), 1).otherwise(0)
         return times * (F.least(F.col("end"), (j + 1) * block) - F.greatest(F.col("start"), j * block))
 
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)

@@ -39,6 +39,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import hmm_scores
+
+    return hmm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import near_dedup
 
@@ -67,7 +73,7 @@ def op10_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_pii, op4_warc, op5_quality_rules, op7_chosen_path, op8_packing, op9_exact_dedup, op10_conv_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_pii, op4_warc, op5_quality_rules, op6_hmm, op7_chosen_path, op8_packing, op9_exact_dedup, op10_conv_quality)}
 
 
 OP9_SQL = r"""
