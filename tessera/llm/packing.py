@@ -8,7 +8,9 @@ removed as often as the counts allow. Pieces then look up their bin by length an
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,29 +89,61 @@ def slots(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 _PIECE = "part long, id long, piece int, start long, length long, ids_crc32 long, rank long"
 
 
-def _tokenise(path: str, end_id: int, capacity: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# The tokenizer's split into contractions, letters, single digits and the rest, over plain Latin text.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+PLAIN = re.compile(f"[!-~{LETTERS}]+")
+
+
+class WordIds(dict):
+    """Ids of white-space separated words as little-endian bytes, kept for words met again.
+
+    The tokenizer drops white space and never joins across it. A word of plain Latin letters and printable ASCII is
+    lower-cased and split here and only its pieces go through the merges; any other word, or one that may hold a
+    special token, goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
-        end = np.array([end_id], "<u4").tobytes()
+        super().__init__()
+        self.whole, self.most = Tokenizer.from_file(path), most
+        self.merge = self.whole.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def piece(self, text: str) -> bytes:
+        units = text if text.isascii() else "".join(map(self.chars.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.merge(units)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one piece
+            low = word.lower()
+            got = self[low] if low != word else self.piece(word.decode())
+        else:
+            text = word.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                low = text.lower()
+                parts = PIECES.findall(low)
+                got = b"".join([self[x.encode()] for x in parts]) if len(parts) > 1 else self.piece(low)
+            else:
+                got = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = got
+        return got
 
-        def ids_of(word: str) -> bytes:
-            got = known.get(word)
-            if got is None:
-                got = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                if len(word) <= 64:
-                    if len(known) > 400_000:
-                        known.clear()
-                    known[word] = got
-            return got
 
+def _tokenise(path: str, end_id: int, capacity: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = WordIds(path).__getitem__
+        end = array("I", [end_id]).tobytes()
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # The tokenizer drops white space and never joins across it, so words are tokenised one by one.
                 ids = b"".join([*map(ids_of, text.split()), end])
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -149,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
-    src = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    src = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
     pieces = ws.table(src.mapInArrow(_tokenise(tokenizer_path, end_id, capacity), _PIECE), "pieces")
     cells = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
