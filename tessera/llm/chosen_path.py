@@ -1,7 +1,7 @@
 """MinHash near-deduplication as a chosen-path set similarity join.
 
 Documents are sets of word shingles. Equal sets are one class from the start. Each class representative descends
-``trees`` independent trees: a node selects one or two of 64 minwise tokens (1 / similarity on average, which keeps
+``trees`` independent trees: a node selects one or two of 128 minwise tokens (1 / similarity on average, which keeps
 the expected number of paths on which a pair at the threshold stays together at one) and branches each set by its
 value of the token. Nodes of at most SMALL sets are compared exhaustively by sketch; larger ones branch again. What is
 still large at the last depth consists of sets alike in many tokens: it is linked in blocks first, and then all sets
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import Workspace, sized, text_of
 from .components import connected_components
 
-TOKENS, SMALL, BLOCK, DEPTH = 64, 32, 192, 4
+TOKENS, SMALL, BLOCK, DEPTH = 128, 32, 192, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: the finalizer of splitmix64
 
 
@@ -66,7 +66,7 @@ _B = (_RNG.integers(0, 1 << 32, TOKENS, np.uint64) | np.uint64(1)).astype(np.uin
 
 
 def min_tokens(h: np.ndarray) -> np.ndarray:
-    """64 minwise values of a set of hashes."""
+    """The minwise values of a set of hashes."""
     out = np.full(TOKENS, 0xFFFFFFFF, np.uint32)
     lo, hi = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
@@ -205,8 +205,12 @@ def _link_blocks(cut: float, threshold: int):
     return work
 
 
-def _cross_blocks(cut: float, threshold: int):
-    """Sets outside the node's largest component against the block's others, across components only."""
+def _cross_blocks(cut: float, threshold: int, best_only: bool):
+    """Sets outside the node's largest component against the block's others, across components only.
+
+    With best_only each such set names its most alike other alone: most links are found so, and what they join need
+    not be compared in full.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in _groups(batches, 3):
@@ -219,7 +223,10 @@ def _cross_blocks(cut: float, threshold: int):
                 if len(others):
                     agree = (sketch[others] == sketch[at]).sum(1)
                     ok = (agree >= cut * TOKENS) & (100 * np.minimum(n[others], n[at]) >= threshold * np.maximum(n[others], n[at]))
-                    pairs += [(int(uid[at]), int(uid[o])) for o in others[ok]]
+                    named = others[ok]
+                    if best_only and len(named):
+                        named = named[[agree[ok].argmax()]]
+                    pairs += [(int(uid[at]), int(uid[o])) for o in named]
             yield _pairs_out(pairs)
 
     return work
@@ -238,14 +245,14 @@ def _confirm(threshold: int):
     return work
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 75, trees: int = 12, cut: float = 0.53) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 75, trees: int = 12, cut: float = 0.6) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least threshold percent on word shingles.
 
     Returns one row per input row: id, n_shingles, component_id, kept. component_id is the smallest id reachable.
     Null and empty texts are linked with nothing and are kept. Texts shorter than ``width`` words are one shingle.
     Rows with equal sets are linked. Null ids are larger than others; among repeated rows with the smallest id of a
     component all are kept (kept says id = component_id). An empty table gives an empty result; other columns are
-    ignored. ``cut`` is the share of 64 sketch bytes below which a pair is not confirmed: four standard deviations
+    ignored. ``cut`` is the share of 128 sketch bytes below which a pair is not confirmed: four standard deviations
     under the threshold.
     """
     spark = docs.sparkSession
@@ -293,7 +300,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = confirmed(union, "first")
     comps = ws.table(connected_components(links, ws), "components")
 
-    if large is not None:
+    for best_only in (True, False) if large is not None else ():
         named = large.join(comps.withColumnRenamed("u", "uid"), "uid", "left").withColumn("comp", F.coalesce("root", "uid"))
         named = ws.table(named.select("node", "uid", "n", "sketch", "size", "comp"), "named")
         main = named.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size2"))
@@ -303,10 +310,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = F.xxhash64("uid")
         left = open_.where("comp <> main").select("node", F.pmod(own, minor_blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), all_blocks - 1)).alias("j"), "uid", "n", "sketch", "comp", F.lit(0).alias("side"))
         right = open_.select("node", F.explode(F.sequence(F.lit(0).cast("long"), minor_blocks - 1)).alias("i"), F.pmod(own, all_blocks).alias("j"), "uid", "n", "sketch", "comp", F.lit(1).alias("side"))
-        cross = left.unionByName(right).repartition(n_parts, "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_cross_blocks(cut, threshold), "a long, b long")
-        more = confirmed(cross, "second")
-        if not more.isEmpty():
-            comps = ws.table(connected_components(links.unionByName(more), ws), "components2")
+        cross = left.unionByName(right).repartition(n_parts, "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_cross_blocks(cut, threshold, best_only), "a long, b long")
+        more = confirmed(cross, "cross")
+        if more.isEmpty():
+            continue
+        links = ws.table(links.unionByName(more), "links")
+        comps = ws.table(connected_components(links, ws), "components")
 
     named = classes.select("digest", "uid", "low").join(comps.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
