@@ -217,7 +217,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The digest columns of ``pii_spans``: counts of the four base kinds, base_sha256 and spans."""
     s = pii_spans(docs, id_col, text_col)
-    counts = [F.size(F.filter("kind", lambda k, i=i: k == i)).cast("long").alias(f"n_{name}") for i, name in enumerate(BASE_KINDS)]
+
+    def count(kind: int):  # a second lambda parameter would be the element's index
+        return F.size(F.filter("kind", lambda k: k == kind)).cast("long").alias(f"n_{BASE_KINDS[kind]}")
+
+    counts = [count(i) for i in range(len(BASE_KINDS))]
     return s.select(F.col("id").alias(id_col), *counts, "base_sha256", "spans")
 
 
