@@ -7,7 +7,8 @@ text is never shuffled). Each part reports its distinct anchors; told which of t
 text around them, equal segments once. The tasks that receive the segments sort their suffixes: initial buckets by
 8-grams, refined by sorting on pairs of bucket identifiers (own, and that of a later offset), whose updates serve the
 next, twice as deep round, until the buckets are 200 bytes deep. Buckets with two or more suffixes are the repeats.
-Anchors with very many different segments are instead resolved window by window: an aggregation on 128-bit digests.
+Anchors with more segments than a task's even share are instead resolved window by window: first within the part,
+then by an aggregation on 128-bit digests.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import Workspace, sized, text_of
 from .chosen_path import mix64
 
-GRAM, CHUNK, HOT = 24, 2 << 20, 1024
+GRAM, CHUNK = 24, 2 << 20
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, np.uint64)
 _P = 0x9E3779B97F4A7C15
 
@@ -241,12 +242,33 @@ def _refine(length: int, batch_bytes: int = 3 << 20):
 
 
 def _windows(length: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, seg, many, segment in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                n = len(segment) - length + 1
-                digests = [hashlib.blake2b(segment[k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([part] * n, pa.int64()), pa.array([seg] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([many] * n, pa.bool_())], ["h", "part", "seg", "lo", "many"])
+    """The windows of a part's hot segments: one row a digest, known to repeat if the part itself holds it twice.
+
+    Windows that repeat within the part come as ranges (h null) besides, so they need no answer.
+    """
+
+    def work(key, rows):
+        first: dict[bytes, tuple[int, int]] = {}
+        twice: set[bytes] = set()
+        own: list[tuple[int, bool, list[bytes]]] = []
+        for seg, many, segment in zip(*(rows.column(c).to_pylist() for c in ("seg", "many", "bytes")), strict=True):
+            digests = [hashlib.blake2b(segment[k : k + length], digest_size=16).digest() for k in range(len(segment) - length + 1)]
+            for k, h in enumerate(digests):
+                if many or h in first:
+                    twice.add(h)
+                first.setdefault(h, (seg, k))
+            own.append((seg, many, digests))
+        out: list[list] = [[] for _ in range(6)]
+        part = key[0].as_py()
+        for seg, _, digests in own:
+            for lo, hi in _ranges(np.array([h in twice for h in digests])):
+                for column, value in zip(out, (None, part, seg, lo, hi, True), strict=True):
+                    column.append(value)
+        for h, (seg, k) in first.items():
+            for column, value in zip(out, (h, part, seg, k, k, h in twice), strict=True):
+                column.append(value)
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("h", "part", "seg", "lo", "hi", "known"), out, types, strict=True)})
 
     return work
 
@@ -288,7 +310,7 @@ def _remove(length: int):
     return work
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, part_bytes: int = 8 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, part_bytes: int = 8 << 20, hot_least: int = 1024) -> DataFrame:
     """Removes each byte covered by a ``length``-byte string that also starts anywhere else, same row included.
 
     Returns one row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (bytes).
@@ -313,15 +335,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_anchor = Window.partitionBy("g")
     told = ws.table(anchors.withColumn("n", F.count(F.lit(1)).over(by_anchor)).where("n > 1 or many").select("part", "g"), "told")
     segments = ws.table(of(told, _segments(length), "g long, part long, seg long, many boolean, bytes binary"), "segments")
-    hot = ws.table(segments.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("g"), "hot")
+    # An anchor is hot if its segments alone are more than a task's even share.
+    limit = max(hot_least, segments.count() // n_parts)
+    hot = ws.table(segments.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("g"), "hot")
     any_hot = not hot.isEmpty()
     few = segments.join(sized(hot, 100_000), "g", "left_anti") if any_hot else segments
     cover = few.repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(_refine(length), _COVER)
     if any_hot:
-        windows = ws.table(segments.join(sized(hot, 100_000), "g", "left_semi").select("part", "seg", "many", "bytes").mapInArrow(_windows(length), "h binary, part long, seg long, lo long, many boolean"), "windows")
-        twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("any")).where("n > 1 or any").select("h")
-        cover = cover.unionByName(windows.join(twice, "h", "left_semi").select("part", "seg", "lo", F.col("lo").alias("hi")))
+        found = segments.join(sized(hot, 100_000), "g", "left_semi").select("part", "seg", "many", "bytes")
+        windows = ws.table(found.groupBy("part").applyInArrow(_windows(length), "h binary, part long, seg long, lo long, hi long, known boolean"), "windows")
+        digests = windows.where("h is not null")
+        twice = digests.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        cover = cover.unionByName(windows.where("h is null").select("part", "seg", "lo", "hi")).unionByName(digests.where("not known").join(twice, "h", "left_semi").select("part", "seg", "lo", "hi"))
     cover = ws.table(cover, "cover")
+    ws.drop("segments", "windows", "hot")
     both = told.select("part", "g", *[F.lit(None).cast("long").alias(c) for c in ("seg", "lo", "hi")]).unionByName(cover.select("part", F.lit(None).cast("long").alias("g"), "seg", "lo", "hi"))
     out = ws.result(of(both, _remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>").withColumnRenamed("id", id_col))
     spark.sql(f"DROP TABLE {name}")

@@ -66,12 +66,13 @@ def test_exact_dedup_repeated_rows(docs):
     assert len(r) == len({bare(t) for t in texts()})
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("hot_least", [1024, 1])
+def test_suffix_dedup(docs, empty, hot_least):
     from tessera.llm.suffix_dedup import suffix_dedup
 
     rows = [(t or "").encode() for t in texts()]
     seen = Counter(b[k : k + 200] for b in rows for k in range(len(b) - 199))
-    got = {r["doc_id"]: r for r in suffix_dedup(docs, part_bytes=4000).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup(docs, part_bytes=4000, hot_least=hot_least).collect()}
     for i, b in enumerate(rows):
         m = bytearray(len(b))
         for k in range(len(b) - 199):
