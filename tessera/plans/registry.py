@@ -396,8 +396,8 @@ def graph_khop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 COV_SQL = _pieces(rf"""WITH d AS (SELECT doc_id AS unit_id, lang AS topic, unnest(list_distinct(SEARCH({DOC}))) AS term FROM documents), z AS (SELECT lang AS topic, count(*) AS size FROM documents GROUP BY 1),
- by AS (SELECT topic, term, count(*) AS k FROM d GROUP BY 1, 2), f AS (SELECT term, sum(k) AS df FROM by GROUP BY 1 HAVING sum(k) >= 2),
- c AS (SELECT topic, term, k / size AS coverage, ln((SELECT count(*) FROM documents) / df) AS idf FROM by JOIN f USING (term) JOIN z USING (topic))
+ bt AS (SELECT topic, term, count(*) AS k FROM d GROUP BY 1, 2), f AS (SELECT term, sum(k) AS df FROM bt GROUP BY 1 HAVING sum(k) >= 2),
+ c AS (SELECT topic, term, k / size AS coverage, ln((SELECT count(*) FROM documents) / df) AS idf FROM bt JOIN f USING (term) JOIN z USING (topic))
  """)
 
 
