@@ -34,23 +34,32 @@ def _words(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Positions covered by 3-word windows that occur at least twice, from an array of words.
 
-    Windows are sorted by hash with their positions; neighbours with equal hashes and equal words are repeats. The
-    union of the windows' positions is a sum over the repeats in order: each adds what it covers before the next.
+    Windows are sorted by hash with their positions (40 bits of hash above 24 bits of position in one number);
+    neighbours with equal hashes and equal words are repeats. The union of the windows' positions is a sum over the
+    repeats in order: each adds what it covers before the next. Texts hold up to 2**24 words.
     """
+    low = (1 << 24) - 1
 
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i")))
+        def packed(i: Column) -> Column:
+            h = F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+            return F.shiftleft(h, 24).bitwiseOR(i.cast("long"))
+
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), packed)
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(low)).cast("int")
 
     def repeats(w: Column, s: Column) -> Column:
         def same(a: Column, b: Column) -> Column:
-            words_equal = reduce(lambda x, y: x & y, [F.element_at(w, a["i"] + k) == F.element_at(w, b["i"] + k) for k in range(3)])
-            return (a["h"] == b["h"]) & words_equal
+            words_equal = reduce(lambda x, y: x & y, [F.element_at(w, place(a) + k) == F.element_at(w, place(b) + k) for k in range(3)])
+            return (F.shiftright(a, 24) == F.shiftright(b, 24)) & words_equal
 
         def keep(x: Column, k: Column) -> Column:
             before = (k > 0) & same(x, F.get(s, k - 1))
             return F.coalesce(before, F.lit(False)) | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False))
 
-        return F.sort_array(F.transform(F.filter(s, keep), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(s, keep), lambda x: place(x)))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
