@@ -233,7 +233,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     model = Hmm.initial(np.append(class_n, ends).astype(float), states)
     for _ in range(rounds if ends else 0):
-        step = coded.where("not held_out").select("classes").mapInArrow(_e_step((model.start, model.move, model.emit), limit, 50_000), "k int, v double")
+        step = coded.where("not held_out").select("classes").mapInArrow(_e_step((model.start, model.move, model.emit), limit, 1_000), "k int, v double")
         sums = step.groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # as many rows as the model has numbers
         counts = np.zeros(states + states * states + (CLASSES + 1) * states)
         counts[sums["k"].to_numpy()] = sums["v"].to_numpy()
