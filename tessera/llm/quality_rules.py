@@ -83,14 +83,14 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when(total > 0, let(total, of)).otherwise(F.lit(0.0))
 
 
-def language_words(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
+def language_words(docs: DataFrame, lang: Column, text: Column, ws: Workspace) -> DataFrame:
     """(lang, words): the TOP_WORDS commonest words of the largest languages and of all (as POOLED).
 
     Bounded by LANGUAGES x TOP_WORDS words of WORD_CHARS characters, so it may be broadcast.
     """
     w = docs.select(lang.alias("lang"), F.explode(_words(F.lower(text))).alias("word"))
     counts = w.where(F.char_length("word") <= WORD_CHARS).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.where("n > 1")
+    counts = ws.table(counts.where("n > 1"), "word-counts")
     both = counts.unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(POOLED)))
     ranked = both.where("lang is not null").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= TOP_WORDS)
     tops = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "n", "word"))).alias("tops"))
@@ -108,7 +108,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ws = Workspace(docs.sparkSession, "quality-rules")
     lang = docs[lang_col].cast("string")
-    refs = ws.table(language_words(docs, lang, text_of(docs, text_col)), "words")
+    refs = ws.table(language_words(docs, lang, text_of(docs, text_col), ws), "words")
     src = docs.select(docs[id_col].alias("id"), lang.alias("lang0"), text_of(docs, text_col).alias("text"), F.struct(*[docs[c] for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
     own = F.broadcast(refs.where(F.col("lang") != POOLED).withColumnRenamed("words", "own_words"))
     pooled = F.broadcast(refs.where(F.col("lang") == POOLED).select(F.col("words").alias("pool_words")))
