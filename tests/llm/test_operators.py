@@ -298,3 +298,35 @@ def test_pipeline_stages(spark, docs, tmp_path):
     mixed = corpus_pipeline.mixing_stage(spark, near, "")
     assert mixed.columns == docs.columns
     assert corpus_pipeline.quality_stage(spark, docs, "").columns == docs.columns
+
+
+def test_near_dedup_settled_nodes(spark, monkeypatch):
+    """Nodes of near copies stop branching; their sets are still linked as brute force links them."""
+    from tessera.llm import chosen_path
+
+    rng = random.Random(8)
+    base, settled = [f"w{rng.randrange(900)}" for _ in range(200)], []
+    rows = []
+    for changes in [1] * 50 + [4, 5, 6, 7, 8] * 6:
+        own = list(base)
+        for at in rng.sample(range(200), changes):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(own))
+    sets, up = [shingles(t) for t in rows], list(range(len(rows)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    known = chosen_path.settled_nodes
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    monkeypatch.setattr(chosen_path, "settled_nodes", lambda large: settled.append(known(large).count()) or known(large))
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert max(settled) > 0
+    assert got == {i: find(i) for i in range(len(rows))}
