@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WHITE, Workspace, let, text_of
+from ._common import WHITE, Workspace, let, sized, text_of
 
 # The character classes of the histogram; what is in none of them counts as other.
 CLASSES = {
@@ -22,9 +22,8 @@ CLASSES = {
     "point": r"[.,;:!?'\"()-]",
     "symbol": r"[#*$%&|<>@^~_=+/\\{}\[\]]",
 }
-#: Common words a reference holds, the longest word it may hold, and the languages that have a reference of their own.
-TOP_WORDS, WORD_CHARS, LANGUAGES = 24, 32, 64
-POOLED = "\x00pooled"
+#: Common words a reference holds, the longest word it may hold, and the references up to which they are broadcast.
+TOP_WORDS, WORD_CHARS, SENT_REFERENCES = 24, 32, 10_000
 
 
 def _words(text: Column) -> Column:
@@ -84,36 +83,31 @@ def js_distance(counts: Column, reference: Column) -> Column:
 
 
 def language_words(docs: DataFrame, lang: Column, text: Column, ws: Workspace) -> DataFrame:
-    """(lang, words): the TOP_WORDS commonest words of the largest languages and of all (as POOLED).
-
-    Bounded by LANGUAGES x TOP_WORDS words of WORD_CHARS characters, so it may be broadcast.
-    """
+    """(lang, words, n): the TOP_WORDS commonest words of every language with their counts; lang null: of all rows."""
     w = docs.select(lang.alias("lang"), F.explode(_words(F.lower(text))).alias("word"))
-    counts = w.where(F.char_length("word") <= WORD_CHARS).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = ws.table(counts.where("n > 1"), "word-counts")
-    both = counts.unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(POOLED)))
-    ranked = both.where("lang is not null").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= TOP_WORDS)
+    counts = ws.table(w.where(F.char_length("word") <= WORD_CHARS).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string"))
+    both = counts.where("lang is not null").unionByName(pooled)
+    ranked = both.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= TOP_WORDS)
     tops = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "n", "word"))).alias("tops"))
-    tops = tops.withColumn("size", F.aggregate("tops", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
-    own = tops.where((F.col("lang") != POOLED) & (F.col("size") >= 2000)).orderBy(F.desc("size"), "lang").limit(LANGUAGES - 1)
-    return own.unionByName(tops.where(F.col("lang") == POOLED)).select("lang", F.transform("tops", lambda x: x["word"]).alias("words"))
+    return tops.select("lang", F.transform("tops", lambda x: x["word"]).alias("words"), F.transform("tops", lambda x: x["n"]).alias("n"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), min_words: int = 50, max_repeat: int = 50, max_class_distance: float = 0.28, max_word_distance: float = 0.45) -> DataFrame:
     """Base counts, distances to the language reference and the verdict of each row.
 
     Returns id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance,
-    word_distance and the ``carry`` columns. A null text is empty; rows without words fail the base rules; a null or
-    rare language uses the pooled reference; repeated rows repeat their result; an empty table gives an empty result.
+    word_distance and the ``carry`` columns. A null text is empty; rows without words fail the base rules; every language
+    has its own reference, however few its rows; a null language uses that of all rows; repeated rows repeat their
+    result; an empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "quality-rules")
     lang = docs[lang_col].cast("string")
     refs = ws.table(language_words(docs, lang, text_of(docs, text_col), ws), "words")
-    src = docs.select(docs[id_col].alias("id"), lang.alias("lang0"), text_of(docs, text_col).alias("text"), F.struct(*[docs[c] for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
-    own = F.broadcast(refs.where(F.col("lang") != POOLED).withColumnRenamed("words", "own_words"))
-    pooled = F.broadcast(refs.where(F.col("lang") == POOLED).select(F.col("words").alias("pool_words")))
-    d = src.join(own, F.col("lang0") == F.col("lang"), "left").join(pooled, F.lit(True), "left")
-    d = d.select("id", "carried", "text", F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.coalesce("own_words", "pool_words", F.array().cast("array<string>")).alias("refs"), _words(F.col("text")).alias("words"))
+    src = docs.select(docs[id_col].alias("id"), lang.alias("lang"), text_of(docs, text_col).alias("text"), F.struct(*[docs[c] for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
+    own = sized(refs.select(F.col("lang").alias("ref_lang"), F.col("words").alias("refs")), SENT_REFERENCES)
+    d = src.join(own, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    d = d.select("id", "carried", "text", "lang", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), _words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
 
     def histogram(found: Column, refs_: Column, n: Column) -> Column:
@@ -140,10 +134,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_class = len(CLASSES) + 1
     good = d.where("n_words > 0")
     sums = [F.sum(F.element_at("class_counts", i + 1)).alias(f"c{i}") for i in range(n_class)] + [F.sum(F.element_at("word_counts", i + 1)).alias(f"w{i}") for i in range(TOP_WORDS + 1)]
-    by_lang = good.groupBy("lang").agg(*sums)
+    by_lang = good.where("lang is not null").groupBy("lang").agg(*sums)
     totals = lambda p, n: F.greatest(reduce(lambda a, b: a + b, [F.col(f"{p}{i}") for i in range(n)]), F.lit(1))
-    ref = by_lang.select("lang", F.array(*[F.col(f"c{i}") / totals("c", n_class) for i in range(n_class)]).alias("ref_c"), F.array(*[F.col(f"w{i}") / totals("w", TOP_WORDS + 1) for i in range(TOP_WORDS + 1)]).alias("ref_w"))
-    out = d.join(F.broadcast(ref), "lang", "left")
+    common = refs.where("lang is null").select("n")
+    pooled = good.agg(*sums[:n_class], F.sum("n_words").alias("total")).crossJoin(common)
+    counted = [F.coalesce(F.get("n", F.lit(i)), F.lit(0)) for i in range(TOP_WORDS)]
+    pooled = pooled.select(F.lit(None).cast("string").alias("lang"), *[f"c{i}" for i in range(n_class)], *[c.alias(f"w{i}") for i, c in enumerate(counted)], (F.col("total") - reduce(lambda a, b: a + b, counted)).alias(f"w{TOP_WORDS}"))
+    ref = by_lang.unionByName(pooled).select(F.col("lang").alias("ref_lang"), F.array(*[F.col(f"c{i}") / totals("c", n_class) for i in range(n_class)]).alias("ref_c"), F.array(*[F.col(f"w{i}") / totals("w", TOP_WORDS + 1) for i in range(TOP_WORDS + 1)]).alias("ref_w"))
+    ref = ws.table(ref, "shares")
+    out = d.join(sized(ref, SENT_REFERENCES), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     no_class, no_word = F.array(*[F.lit(0.0)] * n_class), F.array(*[F.lit(0.0)] * (TOP_WORDS + 1))
     out = out.withColumn("class_distance", F.round(js_distance(F.col("class_counts"), F.coalesce("ref_c", no_class)), 6)).withColumn("word_distance", F.round(js_distance(F.col("word_counts"), F.coalesce("ref_w", no_word)), 6))
     kept = ~F.col("base_failed") & (F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)

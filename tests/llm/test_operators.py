@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -330,3 +332,62 @@ def test_near_dedup_settled_nodes(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert max(settled) > 0
     assert got == {i: find(i) for i in range(len(rows))}
+
+
+CLASS_OF = (lambda c: unicodedata.category(c) == "Ll", lambda c: unicodedata.category(c) == "Lu", lambda c: unicodedata.category(c) == "Nd", lambda c: c in " \t\n\x0b\x0c\r", lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>@^~_=+/\\{}[]")
+
+
+def brute_quality(rows: list) -> list:
+    """(class_distance, word_distance, kept) of rows (text, lang) by op5's rules, in plain Python."""
+
+    def classes(t):
+        n = [sum(map(f, t)) for f in CLASS_OF]
+        return [*n, len(t) - sum(n)]
+
+    def shares(n):
+        return [x / max(sum(n), 1) for x in n]
+
+    def distance(n, q):
+        p = shares(n)
+        terms = [x * math.log2(x / ((x + y) / 2)) for a, b in ((p, q), (q, p)) for x, y in zip(a, b, strict=True) if x > 0]
+        return round(math.sqrt(max(sum(terms) / 2, 0)), 6) if sum(n) else 0.0
+
+    def reference(lang):
+        of = [t or "" for t, g in rows if lang is None or g == lang]
+        w = Counter(x for t in of for x in WORD.findall(t.lower()))
+        top = sorted((x for x in w if len(x) <= 32), key=lambda x: (-w[x], x))[:24]
+        return [sum(c) for c in zip([0] * 7, *(classes(t) for t in of if WORD.search(t)), strict=True)], top, histogram(w, top)
+
+    def histogram(w, top):
+        n = [w[x] for x in top] + [0] * (24 - len(top))
+        return [*n, sum(w.values()) - sum(n)]
+
+    refs, out = {g: reference(g) for g in {g for _, g in rows}}, []
+    for t, g in rows:
+        t, (c, top, n) = t or "", refs[g]
+        words = WORD.findall(t)
+        win = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        seen = Counter(win)
+        covered = {p + k for p, x in enumerate(win) if seen[x] > 1 for k in range(3)}
+        a, b = distance(classes(t), shares(c)), distance(histogram(Counter(x.lower() for x in words), top), shares(n))
+        out.append((a, b, len(words) >= 50 and 100 * len(covered) <= 50 * len(words) and a <= 0.28 and b <= 0.45))
+    return out
+
+
+@pytest.mark.parametrize("sent", [10_000, 1])
+def test_quality_rules_references(spark, monkeypatch, sent):
+    """Every language has its own reference, however small and however many there are; a null one has that of all rows."""
+    from tessera.llm import quality_rules
+
+    monkeypatch.setattr(quality_rules, "SENT_REFERENCES", sent, raising=False)
+    rng = random.Random(6)
+    rows = [(t, ["en", "fr", None][i % 3]) for i, t in enumerate(texts()) if len(t or "") < 5000]
+    for k in range(70):
+        own = [f"{chr(97 + k % 26)}{x}{k}" for x in ("a", "be", "ce", "d", "e")] + ["the", "of"]
+        rows += [(" ".join(rng.choice(own).upper() if k % 3 == n else rng.choice(own) for _ in range(60)), f"l{k}") for n in range(2)]
+    rows += [("once only words", "rare"), (" ".join(["x" * 40] * 3), "long"), (None, "none")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    for i, (a, b, kept) in enumerate(brute_quality(rows)):
+        assert abs(got[i]["class_distance"] - a) < 2e-6 and abs(got[i]["word_distance"] - b) < 2e-6, (i, rows[i], a, b, got[i])
+        assert got[i]["kept"] == kept
