@@ -89,6 +89,18 @@ def test_neighbours(spark):
     assert {(r["entity"], r["hop"]) for r in graph.neighbours(e, seeds).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_long_sentences(spark):
+    """Every entity of a sentence is a mention; only its pairs are of the first twelve."""
+    names = ["Entity" + chr(97 + k) * 2 for k in range(14)]
+    rows = [(0, " ".join(names))] + [(i, f"about Filler{'x' * i}") for i in range(1, 40)]
+    p = spark.createDataFrame(rows, "unit_id long, text string")
+    assert {r["entity"] for r in graph.mentions(p).where("unit_id = 0").collect()} == {n.lower() for n in names}
+    got = {(r["src"], r["dst"]) for r in graph.edges(p).collect()}
+    assert got == {(a.lower(), b.lower()) for i, a in enumerate(names[:12]) for b in names[i + 1 : 12]}
+    q = spark.createDataFrame([(1, "What of Entitynn")], "query_id long, question string")
+    assert [r["unit_id"] for r in graph.graph_scores(p, q).collect()] == [0]
+
+
 def test_streaming_once(spark, tmp_path):
     from tessera.streaming.ingest import read_events, run_once, windowed_latency
 
