@@ -233,8 +233,12 @@ def _bm25(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     return retrieval.bm25_search(passages(spark, sf), questions(spark, sf), k)
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return _bm25(spark, sf).join(questions(spark, sf), "query_id").join(passages(spark, sf), "unit_id")
+#: Units a question that a reranker sees where no SQL holds it to ten.
+POOL = 40
+
+
+def _candidates(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    return _bm25(spark, sf, k).join(questions(spark, sf), "query_id").join(passages(spark, sf), "unit_id")
 
 
 @query(BM25_SQL + "SELECT * FROM bm")
@@ -293,7 +297,7 @@ def jaccard_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def proxy_ce_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.rerank(_candidates(spark, sf), "cross_encoder_proxy")
+    return retrieval.rerank(_candidates(spark, sf, POOL), "cross_encoder_proxy")
 
 
 LEX_SQL = _pieces(f", y AS (SELECT query_id, unit_id, round({JACC}, 6) AS score FROM cand), lex AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM y), ch AS (SELECT query_id, unit_id, rank FROM bm UNION ALL SELECT query_id, unit_id, rank FROM lex)")
@@ -358,7 +362,7 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 def run_compare(spark: SparkSession, sf: str) -> DataFrame:
     gold = _gold(spark, sf).select("query_id", "unit_id")
     base = retrieval.ranking_metrics(_bm25(spark, sf), gold)
-    other = retrieval.ranking_metrics(retrieval.rerank(_candidates(spark, sf), "jaccard"), gold)
+    other = retrieval.ranking_metrics(retrieval.rerank(_candidates(spark, sf, POOL), "jaccard"), gold)
     return evaluation.paired_compare(base, other, "ndcg")
 
 

@@ -101,6 +101,20 @@ def test_long_sentences(spark):
     assert [r["unit_id"] for r in graph.graph_scores(p, q).collect()] == [0]
 
 
+def test_rerank_pool(spark, monkeypatch):
+    """A passage at BM25 rank 16 that the reranker puts first."""
+    rows = [(i, f"beta alpha gamma beta alpha one{i} two{i} three{i}") for i in range(15)]
+    rows += [(15, "alpha beta gamma" + " pad" * 200)] + [(i, f"other words{i}") for i in range(16, 80)]
+    p = spark.createDataFrame(rows, "unit_id long, text string")
+    q = spark.createDataFrame([(1, "alpha beta gamma")], "query_id long, question string")
+    monkeypatch.setattr(registry, "passages", lambda *_: p)
+    monkeypatch.setattr(registry, "questions", lambda *_: q)
+    monkeypatch.setattr(registry, "_gold", lambda *_: spark.createDataFrame([(1, 15)], "query_id long, unit_id long"))
+    got = registry.queries()["proxy_ce_rerank"](spark, SF).orderBy("rank").collect()
+    assert len(got) == 10 and got[0]["unit_id"] == 15
+    assert registry.queries()["run_compare"](spark, SF).first()["wins"] == 1
+
+
 def test_streaming_once(spark, tmp_path):
     from tessera.streaming.ingest import read_events, run_once, windowed_latency
 
