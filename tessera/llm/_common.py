@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts state it: [\x20\x09-\x0D].
@@ -20,12 +21,15 @@ _own_root: str | None = None
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only a local master, whose executors are the driver, may do without: a temporary folder is made then. On a
+    cluster a missing setting is an error, as every executor would write to a disk of its own.
     """
     global _own_root
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own_root
@@ -91,9 +95,46 @@ def _forget(spark: SparkSession, base: str) -> None:
         pass
 
 
-def sized(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint if a count proves that the (narrow) table has at most max_rows rows, else as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def weight(df: DataFrame) -> Column:
+    """Bytes of a row, about: eight a fixed value, the length of strings and binaries, the elements of arrays."""
+    parts = [F.lit(16)]
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
+        elif kind == "array<string>":
+            parts.append(F.coalesce(F.octet_length(F.concat_ws("", c)) + 16 * F.size(c), F.lit(8)))
+        elif kind.startswith("array<"):
+            parts.append(F.greatest(16 * F.size(c), F.lit(8)))
+        else:
+            parts.append(F.lit(8))
+    return sum(parts[1:], parts[0]).cast("long")
+
+
+def sized(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """A broadcast hint if a sum over the table proves that it has at most max_bytes, else the table as it is.
+
+    The sum is a pass of its own: give it a table that is written, not a long plan.
+    """
+    return F.broadcast(df) if (df.agg(F.sum(weight(df)).alias("n")).first()["n"] or 0) <= max_bytes else df
+
+
+def global_rank(df: DataFrame, ws: Workspace, name: str, *order: Column) -> DataFrame:
+    """Adds ``place``, 1 to n in the given order, without a task that holds all rows.
+
+    Rows are dealt by range and written with the number of their range; the counts of the ranges (one row a range)
+    say where each begins.
+    """
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt = ws.table(dealt.withColumn("range_no", F.spark_partition_id()), name)
+    sizes = {r["range_no"]: r["n"] for r in dealt.groupBy("range_no").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
+    starts, at = [], 0
+    for k in sorted(sizes):
+        starts.append((k, at))
+        at += sizes[k]
+    begin = df.sparkSession.createDataFrame(starts, "range_no int, range_start long")
+    inside = F.row_number().over(Window.partitionBy("range_no").orderBy(*order))
+    return dealt.withColumn("inside", inside).join(F.broadcast(begin), "range_no").withColumn("place", F.col("range_start") + F.col("inside")).drop("range_no", "range_start", "inside")
 
 
 def text_of(df: DataFrame, name: str) -> Column:

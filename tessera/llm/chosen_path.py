@@ -281,7 +281,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 own = [shingle_set(t, hashes, width).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["uid", "own"])
 
-        full = ws.table(sets.select("uid", "text").join(sized(wanted, 500_000), "uid", "left_semi").mapInArrow(reshingle, "uid long, own binary"), f"{name}-sets")
+        full = ws.table(sets.select("uid", "text").join(sized(wanted), "uid", "left_semi").mapInArrow(reshingle, "uid long, own binary"), f"{name}-sets")
         both = pairs.join(full.select(F.col("uid").alias("a"), F.col("own").alias("x")), "a").join(full.select(F.col("uid").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
         return ws.table(both.mapInArrow(_confirm(threshold), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")
 
@@ -290,16 +290,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for depth in range(DEPTH):
         big = ws.table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("pivot")).where(F.col("size") > SMALL), "big")
         any_big = not big.isEmpty()
-        small = rows.join(sized(big, 200_000), "node", "left_anti") if any_big else rows
+        small = rows.join(sized(big), "node", "left_anti") if any_big else rows
         small = small.repartition(n_parts, "node").sortWithinPartitions("node", "uid").mapInArrow(_compare_small(cut, threshold), "a long, b long")
         pairs.append(ws.table(small, "small"))
         if not any_big:
             break
-        large = ws.table(rows.join(sized(big, 200_000), "node"), "large")
+        large = ws.table(rows.join(sized(big), "node"), "large")
         if depth == DEPTH - 1:
             settled.append(large)
             break
-        alike = sized(ws.table(settled_nodes(large), "alike"), 200_000)
+        alike = sized(ws.table(settled_nodes(large), "alike"))
         settled.append(large.join(alike, "node", "left_semi"))
         rows = large.join(alike, "node", "left_anti").select("node", "uid", "n", "sketch").mapInArrow(_branch, _NODE)
     large = reduce(DataFrame.unionByName, settled) if settled else None
@@ -317,7 +317,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = ws.table(named.select("node", "uid", "n", "sketch", "size", "comp"), "named")
         main = named.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size2"))
         main = main.select("node", F.col("top.comp").alias("main"), (F.col("size2") - F.col("top.k")).alias("minor")).where("minor > 0")
-        open_ = named.join(sized(main, 200_000), "node")
+        open_ = named.join(sized(main), "node")
         minor_blocks, all_blocks = F.ceil(F.col("minor") / BLOCK), F.ceil(F.col("size") / BLOCK)
         own = F.xxhash64("uid")
         left = open_.where("comp <> main").select("node", F.pmod(own, minor_blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), all_blocks - 1)).alias("j"), "uid", "n", "sketch", "comp", F.lit(0).alias("side"))
@@ -333,6 +333,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = ws.table(named.join(lows, "root").select("digest", "component_id"), "named-classes")
     # A class with other members or links needs its name; the rest name themselves, so hot classes stay out of a shuffle on the digest where the table is small.
-    out = sets.select("id", "n", "digest").join(sized(linked, 400_000), "digest", "left")
+    out = sets.select("id", "n", "digest").join(sized(linked), "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
     return ws.result(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")))

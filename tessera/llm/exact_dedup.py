@@ -174,7 +174,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = ws.table(runs.select("digest", "run").repartition(n_parts, "digest").mapInArrow(_compact, "digest binary"), "hits")
     per_group = max(1, math.isqrt(runs.select("run").distinct().count()))
-    entries = runs.join(sized(hits, 200_000), "digest", "left_semi").select("digest", F.pmod(F.hash("run"), F.lit(per_group)).alias("grp"), "run", "cls", "text")
+    entries = runs.join(sized(hits), "digest", "left_semi").select("digest", F.pmod(F.hash("run"), F.lit(per_group)).alias("grp"), "run", "cls", "text")
     one = ws.table(entries.repartition(n_parts, "digest", "grp").sortWithinPartitions("digest", "grp", "run", "cls").mapInArrow(_verify, _VERIFIED), "verified")
     again = one.where("text is not null").select("digest", F.lit(0).alias("grp"), "run", "cls", "text")
     two = again.repartition(n_parts, "digest").sortWithinPartitions("digest", "run", "cls").mapInArrow(_verify, _VERIFIED)

@@ -339,10 +339,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     limit = max(hot_least, segments.count() // n_parts)
     hot = ws.table(segments.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("g"), "hot")
     any_hot = not hot.isEmpty()
-    few = segments.join(sized(hot, 100_000), "g", "left_anti") if any_hot else segments
+    few = segments.join(sized(hot), "g", "left_anti") if any_hot else segments
     cover = few.repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(_refine(length), _COVER)
     if any_hot:
-        found = segments.join(sized(hot, 100_000), "g", "left_semi").select("part", "seg", "many", "bytes")
+        found = segments.join(sized(hot), "g", "left_semi").select("part", "seg", "many", "bytes")
         windows = ws.table(found.groupBy("part").applyInArrow(_windows(length), "h binary, part long, seg long, lo long, hi long, known boolean"), "windows")
         digests = windows.where("h is not null")
         twice = digests.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")

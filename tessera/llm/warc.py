@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     src = src.withColumn("key", F.sha2("payload", 256))
     many = src.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     many = many.select("key", "top")
-    joined = src.join(sized(many, 100_000), "key", "left")
+    joined = src.join(sized(many), "key", "left")
     is_revisit = F.coalesce(F.col("top") > F.col("page_id"), F.lit(False))
     rows = joined.select("page_id", "url", "payload", F.when(is_revisit, F.col("top")).alias("refers_to"), is_revisit.alias("is_revisit"))
     return rows.mapInArrow(_write(folder, max_bytes), INDEX)

@@ -153,7 +153,7 @@ def test_mixing(docs, empty):
 def test_quality_rules(docs, empty):
     from tessera.llm.quality_rules import quality_rules
 
-    got = {r["doc_id"]: r for r in quality_rules(docs, carry=("source", "digest")).collect()}
+    got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
     for i, t in enumerate(texts()):
         w = WORD.findall(t or "")
         win = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
@@ -355,7 +355,7 @@ def brute_quality(rows: list) -> list:
     def reference(lang):
         of = [t or "" for t, g in rows if lang is None or g == lang]
         w = Counter(x for t in of for x in WORD.findall(t.lower()))
-        top = sorted((x for x in w if len(x) <= 32), key=lambda x: (-w[x], x))[:24]
+        top = sorted(w, key=lambda x: (-w[x], x))[:24]
         return [sum(c) for c in zip([0] * 7, *(classes(t) for t in of if WORD.search(t)), strict=True)], top, histogram(w, top)
 
     def histogram(w, top):
@@ -374,12 +374,43 @@ def brute_quality(rows: list) -> list:
     return out
 
 
-@pytest.mark.parametrize("sent", [10_000, 1])
+def covered_words(w):
+    win = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    n = Counter(win)
+    return len({p + d for p, x in enumerate(win) if n[x] > 1 for d in range(3)})
+
+
+def test_repeated_words_when_hashes_collide(spark):
+    """The first two windows have equal upper hash bits; sorted by hash they would lie between the repeats."""
+    from tessera.llm.quality_rules import quality_rules
+
+    a, b = "x326532 y z", "x3065912 y z"
+    rng = random.Random(5)
+    rows = [f"{a} {b} {a}", f"{b} {a} {b}", f"{a} {b}", f"{a} {a} {b} {b}", " ".join(rng.choice("ab") for _ in range(300)), " ".join(rng.choice("abcdefghijk") for _ in range(20_000)), "a b", None]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules(spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], "doc_id long, text string, lang string")).collect()}
+    assert got == {i: covered_words((t or "").split()) for i, t in enumerate(rows)}
+
+
+def test_keep_good_columns_that_clash(spark):
+    """Extra columns named as the operator's own come back unchanged; repeated rows and null ids stay as often as kept."""
+    from tessera.llm.quality_rules import keep_good, quality_rules
+
+    rng = random.Random(12)
+    words = [f"{x}{y}" for x in "abcdefgh" for y in "uvwxyz"]
+    text = " ".join(rng.choice(words) for _ in range(90))
+    docs = spark.createDataFrame([(1, text, "en", False, "x", 3), (1, text, "en", False, "x", 3), (None, text, None, None, "y", 4), (2, "short", "en", True, None, 5)], "doc_id long, text string, lang string, kept boolean, n_words string, class_distance int")
+    got = keep_good(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("kept is not true").collect()))
+    assert quality_rules(docs).count() == 4 and keep_good(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [8 << 20, 1])
 def test_quality_rules_references(spark, monkeypatch, sent):
     """Every language has its own reference, however small and however many there are; a null one has that of all rows."""
     from tessera.llm import quality_rules
 
-    monkeypatch.setattr(quality_rules, "SENT_REFERENCES", sent, raising=False)
+    monkeypatch.setattr(quality_rules, "SENT_BYTES", sent)
     rng = random.Random(6)
     rows = [(t, ["en", "fr", None][i % 3]) for i, t in enumerate(texts()) if len(t or "") < 5000]
     for k in range(70):
