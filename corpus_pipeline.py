@@ -20,10 +20,9 @@ def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the quality rules reject go."""
-    from tessera.llm.quality_rules import quality_rules
+    from tessera.llm.quality_rules import keep_good
 
-    kept = quality_rules(docs, carry=tuple(docs.columns))
-    return kept.where("kept").select(docs.columns)
+    return keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
