@@ -29,32 +29,32 @@ SALTS = 64
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, WHITE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, WHITE + "+"), "")
 
 
 def repeated_words(words: Column) -> Column:
     """Positions covered by 3-word windows that occur at least twice, from an array of words.
 
-    Windows are sorted by 40 bits of their hash with their positions below it in one number; those whose hash bits have
-    an equal neighbour are candidates, equal windows always among them. The candidates alone are sorted by their words,
-    where equal ones are neighbours whatever their hashes. Beyond 2**24 words every window is a candidate. The union of
-    the repeats' positions is a sum over them in order: each adds what it covers before the next.
+    A text whose windows all have different hashes has no repeats. Of the others the windows are sorted by 40 bits of
+    the hash with their positions below it in one number; those whose hash bits have an equal neighbour are candidates,
+    equal windows always among them. The candidates alone are sorted by their words, where equal ones are neighbours
+    whatever their hashes. Beyond 2**24 words every window is a candidate. The union of the repeats' positions is a sum
+    over them in order: each adds what it covers before the next.
     """
 
-    def suspects(w: Column) -> Column:
-        def packed(i: Column) -> Column:
-            h = F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
-            return F.shiftleft(h, 24).bitwiseOR(i.cast("long"))
+    def hashes(w: Column) -> Column:
+        return F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
 
+    def suspects(h: Column) -> Column:
         def same(a: Column, b: Column) -> Column:
-            return F.coalesce(F.shiftright(a, 24) == F.shiftright(b, 24), F.lit(False))
+            return F.shiftright(a.bitwiseXOR(b), 24) == 0
 
         def of(s: Column) -> Column:
             near = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
             return F.transform(near, lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))
 
-        every = F.sequence(F.lit(1), F.size(w) - 2)
-        return F.when(F.size(w) < 1 << 24, let(F.sort_array(F.transform(every, packed)), of)).otherwise(every)
+        packed = F.transform(h, lambda x, i: F.shiftleft(x, 24).bitwiseOR((i + 1).cast("long")))
+        return F.when(F.size(h) < (1 << 24) - 2, let(F.sort_array(packed), of)).otherwise(F.sequence(F.lit(1), F.size(h)))
 
     def repeats(w: Column, places: Column) -> Column:
         def same(a: Column, b: Column) -> Column:
@@ -70,7 +70,11 @@ def repeated_words(words: Column) -> Column:
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
-    whole = let(words, lambda w: let(suspects(w), lambda c: F.when(F.size(c) == 0, F.lit(0)).otherwise(let(repeats(w, c), covered))))
+    def of(w: Column) -> Column:
+        found = lambda h: let(repeats(w, suspects(h)), covered)
+        return let(hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(found(h)))
+
+    whole = let(words, of)
     return F.when(F.size(words) >= 3, whole).otherwise(F.lit(0)).cast("long")
 
 
@@ -110,14 +114,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, carry: t
     src = docs.select(docs[id_col].alias("id"), lang.alias("lang"), text_of(docs, text_col).alias("text"), F.struct(*[docs[c] for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
     own = sized(refs.select(F.col("lang").alias("ref_lang"), F.col("words").alias("refs")), SENT_BYTES)
     d = src.join(own, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    d = d.select("id", "carried", "text", "lang", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), _words(F.col("text")).alias("words"))
+    longest = F.coalesce(F.array_max(F.transform("refs", lambda w: F.char_length(w))), F.lit(0)).alias("longest")
+    d = d.select("id", "carried", "text", "lang", longest, F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), _words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
 
     def histogram(found: Column, refs_: Column, n: Column) -> Column:
         counts = F.transform(F.sequence(F.lit(1), F.lit(TOP_WORDS)), lambda k: F.size(F.filter(found, lambda p: p == k)).cast("long"))
         return F.concat(counts, F.array((n - F.size(found)).cast("long")))
 
-    found = F.filter(F.transform("words", lambda w: F.array_position(F.col("refs"), F.lower(w))), lambda p: p > 0)
+    # Lower case never has fewer characters, so longer words than the longest of the reference need no look-up.
+    short = F.filter("words", lambda w: F.char_length(w) <= F.col("longest"))
+    found = F.filter(F.transform(short, lambda w: F.array_position(F.col("refs"), F.lower(w))), lambda p: p > 0)
     # Of a class with many characters the rest is removed, which is faster than finding each.
     counted = {"lower": F.char_length(F.regexp_replace("text", r"\P{Ll}+", "")), "white": F.char_length("text") - F.char_length(F.regexp_replace("text", WHITE, ""))}
     classes = [counted.get(k, F.regexp_count("text", F.lit(p))).cast("long").alias(k) for k, p in CLASSES.items()]
