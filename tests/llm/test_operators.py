@@ -302,19 +302,8 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.quality_stage(spark, docs, "").columns == docs.columns
 
 
-def test_near_dedup_settled_nodes(spark, monkeypatch):
-    """Nodes of near copies stop branching; their sets are still linked as brute force links them."""
-    from tessera.llm import chosen_path
-
-    rng = random.Random(8)
-    base, settled = [f"w{rng.randrange(900)}" for _ in range(200)], []
-    rows = []
-    for changes in [1] * 50 + [4, 5, 6, 7, 8] * 6:
-        own = list(base)
-        for at in rng.sample(range(200), changes):
-            own[at] = f"new{rng.randrange(10**6)}"
-        rows.append(" ".join(own))
-    sets, up = [shingles(t) for t in rows], list(range(len(rows)))
+def components_of(sets):
+    up = list(range(len(sets)))
 
     def find(a):
         while up[a] != a:
@@ -323,15 +312,61 @@ def test_near_dedup_settled_nodes(spark, monkeypatch):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
-    known = chosen_path.settled_nodes
+    return {i: find(i) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize(("changes", "sizes"), [([1] * 50 + [4, 5, 6, 7, 8] * 6, {}), ([2, 3] * 60, {"MINOR": 8, "BLOCK": 16}), ([3] * 500, {"SMALL": 32, "MINOR": 256})])
+def test_near_dedup_large_nodes(spark, monkeypatch, changes, sizes):
+    """Groups about the threshold, in nodes too large to compare at once; sets are linked as brute force links them."""
+    from tessera.llm import chosen_path
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = []
+    for n in changes:
+        own = list(base)
+        for at in rng.sample(range(200), n):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(own))
+    for name, value in ({"SMALL": 4} | sizes).items():
+        monkeypatch.setattr(chosen_path, name, value)
+    want = components_of([shingles(t) for t in rows])
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_dedup_relations(spark, monkeypatch):
+    """A set may be alike with one member of a component only, which is not the one it is most alike with by sketch."""
+    from tessera.llm import chosen_path
+
+    rng = random.Random(9)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 3, 4])):
+            own[at] = f"n{i}x{at}"
+        rows.append(" ".join(own))
     monkeypatch.setattr(chosen_path, "SMALL", 4)
-    monkeypatch.setattr(chosen_path, "settled_nodes", lambda large: settled.append(known(large).count()) or known(large))
+    assert chosen_path.trees_for(0.9998) == 12
     got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    assert max(settled) > 0
-    assert got == {i: find(i) for i in range(len(rows))}
+    assert got == components_of([shingles(t) for t in rows])
+
+
+def test_keep_one(spark):
+    """One row of a component stays, also where ids repeat or are null; columns named as the operator's own come back."""
+    from tessera.llm.chosen_path import keep_one
+
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    rows = [(None, a, 1), (None, f"{a} more", 2), (None, b, 3), (5, f"{b} x", 4), (5, f"{b} x", 5), (7, a, 6), (None, None, 7), (None, "", 8), (5, "alone", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keeper int").repartition(3)
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted(r["keeper"] for r in got.collect())
+    assert kept in ([4, 6, 7, 8, 9], [5, 6, 7, 8, 9])
+    assert keep_one(docs.limit(0)).count() == 0
 
 
 CLASS_OF = (lambda c: unicodedata.category(c) == "Ll", lambda c: unicodedata.category(c) == "Lu", lambda c: unicodedata.category(c) == "Nd", lambda c: c in " \t\n\x0b\x0c\r", lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>@^~_=+/\\{}[]")
