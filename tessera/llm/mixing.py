@@ -1,10 +1,13 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks, then seeded block selection.
 
-DataFrame and SQL functions only. Each source's documents form one stream of words in a seeded order, cut into
-blocks of equal size. The blocks of the mix are allocated to the sources by highest quotients target / (2q + 1); a
-source takes all its blocks as often as its quota allows and the rest as a run of blocks from a seeded start: since
-the order is random, the run is a random choice, it keeps documents whole, and no ranking of all blocks is needed. Offsets in the stream are two-level prefix sums (hash bucket, then row), so one
-source may hold most rows.
+DataFrame and SQL functions only. The words of the mix are so many blocks of equal size. Sources get integer quotas of
+blocks by highest quotients target / (2q + 1); each source is cut into shards (rows by a seeded hash, so many that a
+shard stays small), which get integer quotas of the source's blocks in the same way. A shard's rows form one stream of
+words in a seeded order, cut into blocks; all its blocks are taken as often as its quota allows, and of the rest of the
+quota the blocks that come first in a seeded order of their numbers.
+
+A source may hold most rows, and there may be as many sources as hosts: sources, candidates for a seat and shards are
+ranked over ranges, never in one task, and only sums over all sources come to the driver.
 """
 
 from __future__ import annotations
@@ -12,76 +15,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, Workspace, text_of
+from ._common import WORD, Workspace, global_rank, sized, text_of
 
 
-def target_levels(sources: DataFrame, total: Column, cap: float) -> DataFrame:
+def target_levels(sources: DataFrame, total: float, cap: float) -> DataFrame:
     """Adds ``target``: total shared by weight, none above cap * source_size, the excess reshared by weight.
 
-    ``sources`` has source_size and weight; the level of the shared rate is found over sources in the order in which
-    they reach their caps. The table has one row a source.
+    ``sources`` has source_size and weight. The shared rate rises while sources reach their caps; each step is a sum
+    over the sources (of whole numbers, so that the order of summation is no matter).
     """
-    limit = F.col("source_size") * F.lit(cap)
-    order = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    s = sources.withColumn("ratio", limit / F.col("weight"))
-    s = s.withColumn("spent", F.coalesce(F.sum(limit).over(order), F.lit(0.0))).withColumn("w_before", F.coalesce(F.sum("weight").over(order), F.lit(0)))
-    s = s.withColumn("level", (total - F.col("spent")) / (F.sum("weight").over(whole) - F.col("w_before")))
-    s = s.withColumn("rate", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(whole)["level"])
-    return s.withColumn("target", F.coalesce(F.least(limit, F.col("rate") * F.col("weight")), limit).cast("double")).drop("ratio", "spent", "w_before", "level", "rate")
-
-
-def apportion(sources: DataFrame, seats: Column) -> DataFrame:
-    """Adds ``quota``: seats by Sainte-Lague's highest quotients target / (2q + 1), at most ``max_quota`` a source.
-
-    Only seats near the exact share can be in doubt: those below it by more than the share's part of half the
-    sources are certain. The candidates left are a few per source in all, ranked in one window.
+    rate, capped = 0.0, -1
+    while True:
+        full = F.col("source_size") * F.lit(cap) < F.lit(rate) * F.col("weight")
+        s = sources.agg(F.sum(F.when(full, 1).otherwise(0)).alias("n"), F.sum(F.when(full, F.col("source_size"))).alias("spent"), F.sum(F.when(full, F.lit(0)).otherwise(F.col("weight"))).alias("open")).first()
+        if s["n"] is None or s["n"] == capped or not s["open"]:
+            break
+        capped, rate = s["n"], (total - (s["spent"] or 0) * cap) / s["open"]
+    shared = F.lit(rate) * F.col("weight")
+    return sources.withColumn("target", F.least(F.col("source_size") * F.lit(cap), F.lit(float("inf")) if s["open"] == 0 else shared).cast("double"))
+
+
+def apportion(parties: DataFrame, group: str, seats: str, claim: str, limit: str, ws: Workspace, name: str) -> DataFrame:
+    """Adds ``quota``: the seats of each group by Sainte-Lague's highest quotients claim / (2q + 1) among its parties.
+
+    ``parties`` has group, party (a number that is its own), the group's seats, the claim (0 or more) and the limit of a
+    quota. Highest quotients are rounded shares of a common divisor, so a quota differs from the exact share by at most
+    the share's part of half the parties and one: seats below are sure, and only the few about the share are ranked.
+    Ties go to the smaller party.
     """
-    whole = Window.partitionBy()
-    s = sources.withColumn("seats", seats).withColumn("share", F.coalesce(F.col("seats") * F.col("target") / F.nullif(F.sum("target").over(whole), F.lit(0.0)), F.lit(0.0)))
-    slack = F.ceil(F.col("share") / F.greatest(F.col("seats"), F.lit(1)) * F.count(F.lit(1)).over(whole) / 2) + 2
-    s = s.withColumn("slack", slack)
-    s = s.withColumn("sure", F.least(F.greatest(F.floor("share") - F.col("slack"), F.lit(0)), F.col("max_quota")))
-    s = s.withColumn("open", F.col("seats") - F.sum("sure").over(whole))
-    c = s.select("rank", "open", "target", F.explode(F.expr("CASE WHEN least(floor(share) + slack, max_quota - 1) >= sure THEN sequence(sure, least(floor(share) + slack, max_quota - 1)) END")).alias("seat"))
-    c = c.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.col("target") / (2 * F.col("seat") + 1)), "rank")))
-    won = c.where("place <= open").groupBy("rank").agg(F.count(F.lit(1)).alias("won"))
-    return s.join(F.broadcast(won), "rank", "left").withColumn("quota", F.col("sure") + F.coalesce("won", F.lit(0))).drop("seats", "share", "slack", "sure", "open", "won")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 17, buckets: int = 512) -> DataFrame:
+    sums = ws.table(parties.groupBy(group).agg(F.sum(claim).alias("claims"), F.count(F.lit(1)).alias("parties")), f"{name}-sums")
+    p = parties.join(sized(sums), group)
+    p = p.withColumn("share", F.coalesce(F.col(seats) * F.col(claim) / F.nullif(F.col("claims").cast("double"), F.lit(0.0)), F.lit(0.0)))
+    slack = F.ceil(F.col("share") / F.greatest(F.col(seats), F.lit(1)) * F.col("parties") / 2) + 2
+    p = p.withColumn("sure", F.least(F.greatest(F.floor("share") - slack, F.lit(0)), F.col(limit))).withColumn("most", F.least(F.floor("share") + slack, F.col(limit)))
+    p = ws.table(p, name)
+    seat = F.explode(F.expr("CASE WHEN most > sure THEN sequence(sure, most - 1) END"))
+    candidates = p.select(F.col(group).alias("g"), "party", F.col(claim).alias("claim"), seat.alias("seat"))
+    ranked = ws.table(global_rank(candidates, ws, f"{name}-candidates", F.col("g"), F.desc(F.col("claim") / (2 * F.col("seat") + 1)), F.col("party"), F.col("seat")), f"{name}-ranked")
+    groups = p.groupBy(F.col(group).alias("g")).agg((F.first(seats) - F.sum("sure")).alias("open")).join(ranked.groupBy("g").agg(F.min("place").alias("begin")), "g")
+    groups = ws.table(groups, f"{name}-groups")
+    won = ranked.select("g", "party", "place").join(sized(groups), "g").where(F.col("place") - F.col("begin") < F.col("open")).groupBy("party").agg(F.count(F.lit(1)).alias("won"))
+    return p.join(sized(ws.table(won, f"{name}-won")), "party", "left").withColumn("quota", F.col("sure") + F.coalesce("won", F.lit(0))).drop("claims", "parties", "share", "sure", "most", "won")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block: int = 32, shard_rows: int = 2048, seed: int = 17) -> DataFrame:
     """How many words of each row the mix takes: id, size, source_size, target, taken.
 
     size counts ASCII-white-space words (null text: 0). Sources in code point order, null last, weigh ``weights`` in
     turn and share ``share`` times all words, each at most ``cap`` times its own (the excess is reshared). The same
     input gives the same mix. One row per input row; repeated rows are rows of their own (which of several equal rows
-    is taken is immaterial); rows without words take 0; an empty table gives an empty result.
+    is taken is immaterial); null ids are ids like others; rows without words take 0, as do sources without; a text
+    may have any length; an empty table gives an empty result; other columns are ignored.
     """
-    ws = Workspace(docs.sparkSession, "mixing")
-    size = F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long")
-    rows = ws.table(docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size")), "sizes")
-    rows = rows.withColumn("ord", F.xxhash64(F.lit(seed), "id", "size")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "size"), F.lit(buckets)))
-
-    cells = ws.table(rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell")), "cells")
-    sources = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
-    sources = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-    sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")))
-    sources = target_levels(sources, F.sum("source_size").over(Window.partitionBy()) * F.lit(share), cap)
-    sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block)).withColumn("max_quota", (F.lit(int(cap)) * F.col("n_blocks")))
-    sources = ws.table(apportion(sources, F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")), "quotas")
-
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell").over(before), F.lit(0)))
-    plan = cells.withColumnRenamed("source", "s").join(sources.drop("weight"), F.col("s").eqNullSafe(F.col("source")))
-    plan = plan.select("s", F.col("bucket").alias("b"), "cell_start", "source_size", "target", "n_blocks", "quota", F.pmod(F.xxhash64(F.lit(seed), "s"), F.greatest("n_blocks", F.lit(1))).alias("shift"))
-    within = Window.partitionBy("source", "bucket").orderBy("ord", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    d = d.withColumn("start", F.col("cell_start") + F.col("inside")).withColumn("end", F.col("start") + F.col("size"))
-    n, q = F.col("n_blocks"), F.col("quota")
+    spark = docs.sparkSession
+    ws = Workspace(spark, "mixing")
+    text = text_of(docs, text_col)
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    rows = ws.table(docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), docs[id_col], text).alias("ord")), "sizes")
+
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    sources = ws.table(global_rank(sources, ws, "sources", F.col("source").isNull(), F.col("source")).withColumnRenamed("place", "party"), "ranked-sources")
+    sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("party") - 1, F.lit(len(weights))) + 1).cast("int")))
+    total = sources.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    sources = target_levels(sources, total * share, cap)
+    seats = round((sources.agg(F.sum("target").alias("t")).first()["t"] or 0) / block)
+    sources = sources.withColumn("one", F.lit(0)).withColumn("seats", F.lit(seats).cast("long")).withColumn("limit", cap * F.ceil(F.col("source_size") / block))
+    sources = ws.table(apportion(sources, "one", "seats", "target", "limit", ws, "source-quotas").select("party", "source", "source_size", "target", "quota", F.ceil(F.col("n_rows") / shard_rows).alias("n_shards")), "quotas")
+
+    named = sources.select("party", F.col("source").alias("s"), "n_shards")
+    rows = rows.join(sized(named), F.col("source").eqNullSafe(F.col("s"))).select("party", F.pmod(F.xxhash64(F.lit(seed + 1), "ord"), "n_shards").alias("shard"), "id", "size", "ord")
+    cells = ws.table(rows.groupBy("party", "shard").agg(F.sum("size").alias("cell")), "cells")
+    claims = cells.join(sized(sources.select("party", "quota")), "party").select(F.col("party").alias("of"), "shard", "cell", F.col("quota").alias("seats"), (cap * F.ceil(F.col("cell") / block)).alias("limit"))
+    claims = global_rank(claims, ws, "shards", F.col("of"), F.col("shard")).withColumnRenamed("place", "party")
+    shards = apportion(claims, "of", "seats", "cell", "limit", ws, "shard-quotas")
+
+    def order(j: Column) -> Column:
+        return F.xxhash64(F.lit(seed + 2), "party", "shard", j)
+
+    # The blocks of the last, partial round: those whose number is among the first in a seeded order. One number for one
+    # shard is a one-to-one hash, so that exactly so many lie below the bound.
+    n = F.greatest(F.ceil(F.col("cell") / block), F.lit(1))
+    shards = shards.select(F.col("of").alias("party"), "shard", n.alias("n"), "quota")
+    numbers = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), order))
+    shards = shards.withColumn("times", F.floor(F.col("quota") / F.col("n"))).withColumn("bound", F.get(numbers, F.pmod("quota", "n").cast("int")))
+    plan = ws.table(shards.select("party", "shard", "times", "bound"), "plan")
+
+    within = Window.partitionBy("party", "shard").orderBy("ord", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    d = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("end", F.col("start") + F.col("size"))
+    d = d.join(sized(plan), ["party", "shard"]).join(sized(sources.select("party", "source_size", "target")), "party")
 
     def words(j: Column) -> Column:
-        times = F.floor(q / n) + F.when(F.pmod(j + F.col("shift"), n) < F.pmod(q, n), 1).otherwise(0)
+        times = F.col("times") + F.when(order(j) < F.col("bound"), 1).otherwise(0)
         return times * (F.least(F.col("end"), (j + 1) * block) - F.greatest(F.col("start"), j * block))
 
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)

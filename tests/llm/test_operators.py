@@ -409,6 +409,71 @@ def brute_quality(rows: list) -> list:
     return out
 
 
+def sainte_lague(claims, seats, limits):
+    """Seats one by one to the highest quotient; ties to the earlier party."""
+    quota = [0] * len(claims)
+    for _ in range(seats):
+        open_ = [k for k in range(len(claims)) if quota[k] < limits[k]]
+        if not open_:
+            break
+        k = max(open_, key=lambda k: (claims[k] / (2 * quota[k] + 1), -k))
+        quota[k] += 1
+    return quota
+
+
+def test_apportion_against_single_seats(spark):
+    from tessera.llm._common import Workspace
+    from tessera.llm.mixing import apportion
+
+    rng = random.Random(3)
+    groups = {g: [rng.choice([0, 1, 7, 7, 50, rng.randrange(1, 5000)]) for _ in range(rng.randrange(1, 40))] for g in range(6)}
+    seats = {g: rng.randrange(0, 400) for g in groups}
+    rows = [(g, 100 * g + k, seats[g], float(c), 10**6) for g, own in groups.items() for k, c in enumerate(own)]
+    df = spark.createDataFrame(rows, "g long, party long, seats long, claim double, most_of long").withColumnRenamed("most_of", "limit")
+    got = {(r["g"], r["party"]): r["quota"] for r in apportion(df.withColumnRenamed("g", "of"), "of", "seats", "claim", "limit", Workspace(spark, "test"), "t").withColumnRenamed("of", "g").collect()}
+    for g, own in groups.items():
+        want = sainte_lague(own, seats[g], [10**6] * len(own)) if sum(own) else None
+        if want:
+            assert [got[g, 100 * g + k] for k in range(len(own))] == want, g
+
+
+def test_target_levels(spark):
+    from tessera.llm.mixing import target_levels
+
+    rng = random.Random(11)
+    sizes = [rng.choice([0, 3, 40, 500, 90_000]) for _ in range(30)]
+    weight = [(5, 2, 1)[k % 3] for k in range(30)]
+    total, cap = 1.5 * sum(sizes), [2 * s for s in sizes]
+    full: set = set()
+    while True:
+        rate = (total - sum(cap[k] for k in full)) / sum(w for k, w in enumerate(weight) if k not in full)
+        more = {k for k in range(30) if k not in full and cap[k] < rate * weight[k]}
+        if not more:
+            break
+        full |= more
+    rows = spark.createDataFrame([(k, s, w) for k, (s, w) in enumerate(zip(sizes, weight, strict=True))], "k int, source_size long, weight int")
+    got = {r["k"]: r["target"] for r in target_levels(rows, total, 2).collect()}
+    assert all(abs(got[k] - (cap[k] if k in full else rate * weight[k])) < 1e-6 for k in range(30))
+
+
+def test_mixing_hot_source_and_shards(spark):
+    """Many shards, null ids and repeated rows: every source near its target, whole blocks by the shards' quotas."""
+    from tessera.llm.mixing import mix
+
+    rng = random.Random(7)
+    rows = [(i if i % 9 else None, " ".join(["w"] * rng.randrange(0, 90)), rng.choice(["hot", "hot", "a", "b", None])) for i in range(400)]
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs, shard_rows=16, block=8).collect()
+    again = mix(docs.repartition(7), shard_rows=16, block=8).collect()
+    key = lambda r: (str(r["doc_id"]), r["size"], r["target"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == 420
+    for t in {r["target"] for r in got}:
+        own = [r for r in got if r["target"] == t]
+        shards = -(-len(own) // 16) + 1
+        assert abs(sum(r["taken"] for r in own) - t) <= 8 * 3 * shards and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+
+
 def covered_words(w):
     win = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
     n = Counter(win)
