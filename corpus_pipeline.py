@@ -12,58 +12,68 @@ from pyspark.sql import functions as F
 from tessera.llm._common import WHITE, Workspace, sized
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose id has no row that was dropped, or at least one that stays (ids compared null-safely)."""
-    verdict = decided.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("any")).where("not any")
-    return docs.join(sized(verdict, 500_000), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that the quality rules reject go."""
+    """Operator 5: documents that the quality rules reject go; null texts are empty and go, repeated rows stay or go
+    together, an empty table stays empty."""
     from tessera.llm.quality_rules import keep_good
 
     return keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: one document of each group of equal texts stays, also where rows repeat an id."""
+    """Operator 9: one document of each group of equal texts stays.
+
+    Where rows repeat an id (null ids count as equal), the id alone does not say which row stays: of those the rows with
+    a kept text stay, one of each text. Null texts equal empty ones; an empty table stays empty.
+    """
     from tessera.llm.exact_dedup import exact_dedup
 
-    decided = exact_dedup(docs)
-    stay = _without(docs, decided)
-    twice = decided.groupBy(F.col("doc_id").alias("twice_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("twice_id")
+    decided = exact_dedup(docs.select("doc_id", "text"))
+    ids = Workspace(spark, "exact-stage").table(decided.groupBy(F.col("doc_id").alias("_c_id")).agg(F.max("kept").alias("_c_any"), F.count(F.lit(1)).alias("_c_n")).where("_c_n > 1 or not _c_any"), "ids")
+    same = docs["doc_id"].eqNullSafe(F.col("_c_id"))
+    stay = docs.join(sized(ids), same, "left_anti")
+    twice = ids.where("_c_n > 1 and _c_any").select("_c_id")
     if twice.isEmpty():
         return stay
-    again = stay["doc_id"].eqNullSafe(F.col("twice_id"))
-    bare = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE, ""), 256)
-    repeated = stay.join(twice, again, "left_semi").withColumn("bare_sha", bare)
-    keys = decided.where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
-    repeated = repeated.join(keys, repeated["doc_id"].eqNullSafe(F.col("kept_id")) & (F.col("bare_sha") == F.col("text_sha256")), "left_semi")
-    return stay.join(twice, again, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "bare_sha"]).drop("bare_sha"))
+    bare = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), WHITE, ""), 256)
+    repeated = docs.join(sized(twice), same, "left_semi").withColumn("_c_sha", bare)
+    keys = decided.where("kept").select(F.col("doc_id").alias("_c_id"), F.col("text_sha256").alias("_c_key")).distinct()
+    repeated = repeated.join(keys, repeated["doc_id"].eqNullSafe(F.col("_c_id")) & (F.col("_c_sha") == F.col("_c_key")), "left_semi")
+    return stay.unionByName(repeated.dropDuplicates(["doc_id", "_c_sha"]).drop("_c_sha"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each component of near copies stays."""
-    from tessera.llm.chosen_path import near_dedup
+    """Operator 7: one row of each component of near copies stays, also where ids repeat or are null.
 
-    return _without(docs, near_dedup(docs))
+    Rows without words are near nothing and stay; an empty table stays empty.
+    """
+    from tessera.llm.chosen_path import keep_one
+
+    return keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: a document stays as often as the mix takes it, none to twice (its rows repeat).
 
-    The mix takes runs of blocks, so all but a source's two boundary documents are taken whole; those are rounded.
+    The mix takes blocks of words; a document's share, taken over size, is rounded up or down by a seeded hash of its
+    id, so that the words of a source stay near its target. Rows of one id (null ids too) share one number. Rows without
+    words are not taken; an empty table stays empty.
     """
     from tessera.llm.mixing import mix
 
-    taken = mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    taken = taken.select("mixed_id", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times")).where("times > 0")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[joined[c] for c in docs.columns])
+    taken = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("_c_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    chance = F.pmod(F.xxhash64(F.lit(29), "_c_id"), F.lit(1 << 20)) / float(1 << 20)
+    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + chance).cast("int")
+    taken = Workspace(spark, "mixing-stage").table(taken.select("_c_id", F.least(times, F.lit(2)).alias("_c_times")).where("_c_times > 0"), "times")
+    joined = docs.join(sized(taken), docs["doc_id"].eqNullSafe(F.col("_c_id")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_c_times"))).alias("_c_copy")).drop("_c_copy")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the documents of the mix, cut and packed into sequences of 2048 tokens."""
+    """Operator 8: the documents of the mix, cut and packed into sequences of 2048 tokens.
+
+    Null texts are empty and one token long; repeated rows are packed each; an empty table gives no sequence.
+    """
     import public_tokenizers
 
     from tessera.llm.packing import pack
@@ -79,7 +89,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Tokenisation and sketches are beyond SQL; tests hold each stage against a brute-force version.
+#: Tokenisation and block selection are beyond SQL; tests/llm holds the stages' rows against brute-force versions.
 ORACLE_SQL = None
 
 
