@@ -353,17 +353,17 @@ def _near(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: in
     for depth in range(DEPTH):
         if big is None:
             break
-        large = ws.table(in_components(rows.join(sized(big.select("node", "size")), "node"), comps, "uid", "comp"), "large")
-        main = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-        main = ws.table(main.select("node", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.k")).alias("minor")).where("minor > 0"), "main")
+        large = ws.table(in_components(rows.join(sized(big.select("node")), "node", "left_semi"), comps, "uid", "comp"), "large")
+        main = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"))
+        main = ws.table(main.select("node", "size", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.k")).alias("minor")).where("minor > 0"), "main")
+        open_ = ws.table(large.join(sized(main), "node"), "open")
+        ws.drop("large")
         last = depth == DEPTH - 1
-        named.append(cross(large.join(sized(main if last else main.where(F.col("minor") <= MINOR)), "node")))
-        if last:
+        named.append(ws.table(cross(open_ if last else open_.where(F.col("minor") <= MINOR)), "crossed"))
+        if last or main.where(F.col("minor") > MINOR).isEmpty():
             break
-        branching = main.where(F.col("minor") > MINOR).select("node")
-        if branching.isEmpty():
-            break
-        rows = ws.table(large.join(sized(branching), "node", "left_semi").select("node", "uid", "n", "sketch").mapInArrow(_branch, _NODE), "branched")
+        rows = ws.table(open_.where(F.col("minor") > MINOR).select("node", "uid", "n", "sketch").mapInArrow(_branch, _NODE), "branched")
+        ws.drop("open")
         big = large_nodes(rows)
         small = rows.join(sized(big.select("node")), "node", "left_anti") if big is not None else rows
         pairs.append(compared(small, None, f"level{depth + 1}").select("a", "b"))
