@@ -1,9 +1,13 @@
 """Hidden Markov language model over words, trained by Baum-Welch with counts aggregated across partitions.
 
-A word is emitted in two steps: the hidden state emits the word's class (a fixed number of hash classes, so the model
-has a bounded size) and the class emits the word by its smoothed share in the training tokens. Scaled forward
+States emit words in classes: each of the commonest words is a class of its own, so that states see it as it is; the
+rest share hash classes, of which each emits its words by their smoothed shares in the training tokens. Scaled forward
 recursion over a document's classes gives the exact probability of its class sequence; the words' shares complete it.
 
+Documents are trained on whole. A long one is computed in stretches at once: each stretch's transfer matrix tells how
+it passes the state on, so that every stretch starts from the state its document really has there, and transitions from
+one stretch to the next are counted like others.
+
 Counting tasks cut their documents into parts with a vocabulary each; a document is stored as numbers in its part's
 vocabulary. Only (word, part) rows are shuffled to learn the corpus counts, and return to the part by its number, so
 frequent words move once a part, not once an occurrence.
@@ -19,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Workspace, crc_remainder, text_of
+from ._common import Workspace, crc_remainder, global_rank, sized, text_of
 
-CLASSES = 2048  # hash classes; the end token has the class CLASSES
+CLASSES, COUNTS = 2048, 4096  # hash classes; expected counts that a row of the E step holds
 _PART = "part long, id long, held_out boolean, ids binary, word binary, idx int, n_train long"
 _DOC = "id long, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary"
 
@@ -66,7 +70,11 @@ def _count(part_bytes: int):
 
 
 def _encode(total: int, distinct: int, ends: int, class_n: np.ndarray, class_v: np.ndarray):
-    """Rows sorted by (part, kind, idx): a part's vocabulary with corpus counts, then its documents."""
+    """Rows sorted by (part, kind, idx): a part's vocabulary with corpus counts, then its documents.
+
+    Classes from CLASSES on are those of single words, which emit nothing else; the end token has the last class.
+    """
+    end_class = np.uint16(len(class_n))
     base_of = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +90,9 @@ def _encode(total: int, distinct: int, ends: int, class_n: np.ndarray, class_v:
                     continue
                 if ready is None:
                     cc, kk = np.array(count, np.int64), np.array(cls, np.int64)
-                    ready = (cc > 0, base_of(cc), np.log10((cc + 0.1) / (class_n[kk] + 0.1 * (class_v[kk] + 1))), kk.astype(np.uint16)) if len(cc) else (np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0, np.uint16))
+                    ready = (cc > 0, base_of(cc), np.where(kk < CLASSES, np.log10((cc + 0.1) / (class_n[kk] + 0.1 * (class_v[kk] + 1))), 0.0), kk.astype(np.uint16)) if len(cc) else (np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0, np.uint16))
                 own = np.frombuffer(ids, np.int32)
-                values = (i, held, len(own) + 1, int(ready[0][own].sum()) + (ends > 0), float(ready[1][own].sum() + base_of(ends)), float(ready[2][own].sum()), np.append(ready[3][own], np.uint16(CLASSES)).tobytes())
+                values = (i, held, len(own) + 1, int(ready[0][own].sum()) + (ends > 0), float(ready[1][own].sum() + base_of(ends)), float(ready[2][own].sum()), np.append(ready[3][own], end_class).tobytes())
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
@@ -114,8 +122,12 @@ class Hmm:
         emit = counts[states + states * states :].reshape(-1, states) + 0.01
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def forward(self, sequences: list[np.ndarray], keep: bool = False):
-        """Natural log likelihoods by scaled forward recursion, all sequences a step at a time, longest first."""
+    def forward(self, sequences: list[np.ndarray], keep: bool = False, prior: np.ndarray | None = None):
+        """Natural log likelihoods by scaled forward recursion, all sequences a step at a time, longest first.
+
+        ``prior`` gives each sequence its own distribution of the first state. With ``keep`` the steps (classes seen,
+        state, scale) and the order of their rows come too.
+        """
         lengths = np.array([len(s) for s in sequences])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
@@ -128,7 +140,7 @@ class Hmm:
             while lengths[alive - 1] <= t:
                 alive -= 1
             seen = flat[begins[:alive] + t]
-            alpha = (self.start if t == 0 else alpha[:alive] @ self.move) * self.emit[seen]
+            alpha = ((self.start if prior is None else prior[order]) if t == 0 else alpha[:alive] @ self.move) * self.emit[seen]
             scale = alpha.sum(1)
             alpha /= scale[:, None]
             total[:alive] += np.log(scale)
@@ -136,29 +148,79 @@ class Hmm:
                 steps.append((seen, alpha, scale))
         out = np.empty(len(lengths))
         out[order] = total
-        return (out, steps) if keep else out
+        return (out, steps, order) if keep else out
 
-    def expected(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Expected start, move and emit counts of the sequences, flattened (the E step)."""
-        _, steps = self.forward(sequences, True)
+    def transfer(self, stretches: list[np.ndarray]) -> np.ndarray:
+        """For each stretch the matrix that takes the state before it to that at its end, up to a factor.
+
+        Stretches are computed a step at a time, longest first.
+        """
+        states = len(self.start)
+        lengths = np.array([len(x) for x in stretches])
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        flat = np.concatenate([stretches[o] for o in order]).astype(np.int64)
+        begins, alive = np.cumsum(lengths) - lengths, len(lengths)
+        out = np.broadcast_to(np.eye(states), (len(lengths), states, states)).copy()
+        for t in range(int(lengths[0])):
+            while lengths[alive - 1] <= t:
+                alive -= 1
+            step = (out[:alive].reshape(-1, states) @ self.move).reshape(alive, states, states) * self.emit[flat[begins[:alive] + t]][:, None, :]
+            out[:alive] = step / step.sum((1, 2), keepdims=True)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return out[back]
+
+    def expected(self, sequences: list[np.ndarray], stretch: int = 1000) -> tuple[np.ndarray, float]:
+        """Expected start, move and emit counts of the sequences, flattened (the E step), and their log likelihood."""
         states = len(self.start)
+        stretches, first, owner = [], [], []
+        for k, s in enumerate(sequences):
+            for at in range(0, len(s), stretch):
+                stretches.append(s[at : at + stretch])
+                first.append(at == 0)
+                owner.append(k)
+        first, owner = np.array(first), np.array(owner)
+        later = np.flatnonzero(~first)
+        come, leave = np.zeros((len(stretches), states)), np.ones((len(stretches), states))  # state before, future after
+        if len(later):
+            passed = dict(zip(later.tolist(), self.transfer([stretches[k] for k in later]), strict=True))
+            long = np.flatnonzero(first & np.isin(np.arange(len(first)) + 1, later))
+            _, steps, order = self.forward([stretches[k] for k in long], True)
+            ends = np.empty((len(long), states))
+            for _, alpha, _ in steps:
+                ends[: len(alpha)] = alpha  # sequences end in reverse order; the last write is each one's end
+            state = dict(zip(long[order].tolist(), ends, strict=True))
+            for k in later.tolist():
+                come[k] = state[k - 1]
+                state[k] = come[k] @ passed[k]
+                state[k] /= state[k].sum()
+            for k in later[::-1].tolist():
+                leave[k - 1] = passed[k] @ leave[k]
+                leave[k - 1] /= leave[k - 1].sum()
+        prior = np.where(first[:, None], self.start, come @ self.move)
+        ll, steps, order = self.forward(stretches, True, prior)
+        leave, come, first = leave[order], come[order], first[order]
         move = np.zeros((states, states))
         seen, gamma = [], []
-        beta = later = None
+        beta = ahead_of = None
         for t in range(len(steps) - 1, -1, -1):
             obs, alpha, _ = steps[t]
-            now = np.ones_like(alpha)
-            if later is not None:
-                ahead = self.emit[later[0]] * beta / later[2][:, None]
+            now = leave[: len(alpha)] / (alpha * leave[: len(alpha)]).sum(1, keepdims=True)
+            if ahead_of is not None:
+                ahead = self.emit[ahead_of[0]] * beta / ahead_of[2][:, None]
                 k = len(ahead)
                 move += alpha[:k].T @ ahead
                 now[:k] = ahead @ self.move.T
-            beta, later = now, steps[t]
+            beta, ahead_of = now, steps[t]
             seen.append(obs)
             gamma.append(alpha * beta)
+        if not first.all():
+            ahead = self.emit[ahead_of[0]] * beta / ahead_of[2][:, None]
+            move += come[~first].T @ ahead[~first]
         all_seen, all_gamma = np.concatenate(seen), np.concatenate(gamma)
         emit = np.stack([np.bincount(all_seen, all_gamma[:, s], len(self.emit)) for s in range(states)], 1)
-        return np.concatenate([gamma[-1].sum(0), (move * self.move).ravel(), emit.ravel()])
+        return np.concatenate([gamma[-1][first].sum(0), (move * self.move).ravel(), emit.ravel()]), float(ll.sum())
 
 
 def _batches_of(rows: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
@@ -173,22 +235,33 @@ def _batches_of(rows: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _e_step(model: tuple, limit: int, longest: int):
-    """One row of summed counts a task. Sequences longer than ``longest`` train in stretches (scoring does not cut)."""
+def _e_step(model: tuple, limit: int):
+    """A task's summed counts, in rows of COUNTS numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm = Hmm(*model)
+        hmm, task = Hmm(*model), TaskContext.get().partitionId()
         total = None
-        rows = ((s[a : a + longest],) for b in batches for x in b.column(0).to_pylist() for s in [np.frombuffer(x, np.uint16)] for a in range(0, len(s), longest))
+        rows = ((np.frombuffer(x, np.uint16),) for b in batches for x in b.column(0).to_pylist())
         for group in _batches_of(rows, limit):
-            counts = hmm.expected([g[0] for g in group])
+            counts, _ = hmm.expected([g[0] for g in group])
             total = counts if total is None else total + counts
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+            cut = [total[at : at + COUNTS].tobytes() for at in range(0, len(total), COUNTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([task] * len(cut), pa.int32()), pa.array(cut, pa.binary())], ["k", "task", "v"])
 
     return work
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of a number, in the order of their tasks so that reruns agree."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = np.frombuffer(v)
+            sums[k] = sums[k] + own if k in sums else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["k", "v"])
+
+
 def _score(model: tuple, limit: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = Hmm(*model)
@@ -202,12 +275,32 @@ def _score(model: tuple, limit: int):
     return work
 
 
-def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, held: int = 0, states: int = 6, rounds: int = 6, part_bytes: int = 24 << 20, limit: int = 1_000_000) -> DataFrame:
+def own_words(counts: DataFrame, ws: Workspace, most: int, least: int) -> DataFrame:
+    """(word, cls): the commonest words, at most ``most`` and each seen ``least`` times, with classes from CLASSES on.
+
+    ``counts`` has word and c. Counts are binned in eighths of a power of two; the bins that fit whole are taken.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    bins = counts.where(F.col("c") >= least).groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # eight rows a power of two
+    bound, used = 1 << 20, 0
+    for r in sorted(bins, reverse=True):
+        used += r["n"]
+        if used > most:
+            break
+        bound = r["b"]
+    few = global_rank(counts.where((F.col("c") >= least) & (level >= bound)).select("word", "c"), ws, "own-words", F.desc("c"), F.col("word"))
+    return ws.table(few.select("word", (F.col("place") - 1 + CLASSES).cast("int").alias("own")), "own")
+
+
+def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, held: int = 0, states: int = 6, rounds: int = 6, part_bytes: int = 24 << 20, limit: int = 1_000_000, max_own: int = 16_384, min_own: int = 5) -> DataFrame:
     """Scores every row by a hidden Markov model and by smoothed unigrams, learned from rows outside the fold.
 
-    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). A null or empty text is the end
-    token alone; repeated rows count and are scored each; without training rows all words are unknown; an empty table
-    gives an empty result; other columns are ignored.
+    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). The at most ``max_own`` commonest
+    words with at least ``min_own`` training occurrences have classes of their own: that bounds the model that each task
+    holds and the counts that come to the driver; all other words are in hash classes and keep their own counts there.
+    A null or empty text is the end token alone; repeated rows count and are scored each; null ids count as empty text
+    in the fold's crc32; a text may have any length; without training rows all words are unknown; an empty table gives
+    an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "hmm")
@@ -216,27 +309,32 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = ws.table(src.mapInArrow(_count(part_bytes), _PART), "parts")
     by_word = Window.partitionBy("word")
     words = rows.where("word is not null").select("word", "part", "idx", "n_train")
-    words = words.select("part", "idx", F.sum("n_train").over(by_word).alias("c"), (F.min("part").over(by_word) == F.col("part")).alias("first"), F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int").alias("cls"))
+    words = words.select("word", "part", "idx", F.sum("n_train").over(by_word).alias("c"), (F.min("part").over(by_word) == F.col("part")).alias("first"))
     words = ws.table(words, "words")
+    own = own_words(words.where("first and c > 0"), ws, max_own, min_own)
+    n_own = own.count()
+    words = words.join(sized(own), "word", "left").select("part", "idx", "c", "first", F.coalesce("own", F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int")).alias("cls"))
     ends = rows.where("ids is not null and not held_out").count()
-    stats = words.where("first and c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # at most CLASSES rows
-    class_n, class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    stats = words.where("first and c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # a row a class
+    class_n, class_v = np.zeros(CLASSES + n_own, np.int64), np.zeros(CLASSES + n_own, np.int64)
     for r in stats:
         class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]
     total, distinct = int(class_n.sum()) + ends, int(class_v.sum()) + (ends > 0)
 
     vocabulary = words.select("part", F.lit(0).alias("kind"), "c", "cls", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("ids"), "idx")
     texts = rows.where("ids is not null").select("part", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("cls"), "id", "held_out", "ids", F.lit(None).cast("int").alias("idx"))
-    both = vocabulary.unionByName(texts).repartition(n_parts, "part").sortWithinPartitions("part", "kind", "idx").drop("idx")
+    # A part is a bounded number of bytes; ranges deal parts evenly however many there are.
+    dealt = max(n_parts, rows.where("ids is not null").select("part").distinct().count())
+    both = vocabulary.unionByName(texts).repartitionByRange(dealt, "part").sortWithinPartitions("part", "kind", "idx").drop("idx")
     coded = ws.table(both.mapInArrow(_encode(total, distinct, ends, class_n, class_v), _DOC), "coded")
     ws.drop("parts", "words")
 
     model = Hmm.initial(np.append(class_n, ends).astype(float), states)
+    size = states + states * states + (CLASSES + n_own + 1) * states
     for _ in range(rounds if ends else 0):
-        step = coded.where("not held_out").select("classes").mapInArrow(_e_step((model.start, model.move, model.emit), limit, 1_000), "k int, v double")
-        sums = step.groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # as many rows as the model has numbers
-        counts = np.zeros(states + states * states + (CLASSES + 1) * states)
-        counts[sums["k"].to_numpy()] = sums["v"].to_numpy()
+        step = coded.where("not held_out").select("classes").mapInArrow(_e_step((model.start, model.move, model.emit), limit), "k int, task int, v binary")
+        sums = step.repartition(n_parts, "k").sortWithinPartitions("k", "task").mapInArrow(_add, "k int, v binary").collect()  # the model's numbers
+        counts = np.concatenate([np.frombuffer(r["v"]) for r in sorted(sums, key=lambda r: r["k"])]) if sums else np.zeros(size)
         model = Hmm.from_counts(counts, states)
     scored = coded.mapInArrow(_score((model.start, model.move, model.emit), limit), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return ws.result(scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"))

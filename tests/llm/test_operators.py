@@ -195,6 +195,56 @@ def test_hmm(docs, empty):
     assert abs(m.forward([seq])[0] - np.log(total)) < 1e-9
 
 
+def test_hmm_expected_counts():
+    """Stretches change nothing: counts as by plain forward-backward over each whole sequence; likelihood rises."""
+    from tessera.llm.hmm import Hmm
+
+    rng = np.random.default_rng(4)
+    m = Hmm.initial(rng.integers(1, 9, 7).astype(float), 3)
+    sequences = [rng.integers(0, 7, n).astype(np.uint16) for n in (1, 5, 40, 64, 10, 11, 137)]
+
+    def plain(seq):
+        alpha, beta = [m.start * m.emit[seq[0]]], [np.ones(3)]
+        for x in seq[1:]:
+            alpha.append(alpha[-1] @ m.move * m.emit[x])
+        for x in seq[:0:-1]:
+            beta.insert(0, m.move @ (m.emit[x] * beta[0]))
+        p = alpha[-1].sum()
+        gamma = [a * b / p for a, b in zip(alpha, beta, strict=True)]
+        move, emit = np.zeros((3, 3)), np.zeros((7, 3))
+        for t in range(len(seq) - 1):
+            move += np.outer(alpha[t], m.emit[seq[t + 1]] * beta[t + 1]) * m.move / p
+        for x, g in zip(seq, gamma, strict=True):
+            emit[x] += g
+        return np.concatenate([gamma[0], move.ravel(), emit.ravel()]), np.log(p)
+
+    want = [plain(x) for x in sequences]
+    for stretch in (1000, 10, 3, 1):
+        counts, ll = m.expected(sequences, stretch)
+        assert np.allclose(counts, sum(w[0] for w in want), atol=1e-8) and abs(ll - sum(w[1] for w in want)) < 1e-8
+    last = -np.inf
+    for _ in range(8):
+        counts, ll = m.expected(sequences, 16)
+        assert ll >= last - 0.2  # smoothing of the counts may cost a little
+        last, m = ll, Hmm.from_counts(counts, 3)
+    assert last > sum(w[1] for w in want)
+
+
+def test_hmm_scores_of_one_state(spark):
+    """With one state a document's score is a product of smoothed word shares; unseen words are in hash classes."""
+    from tessera.llm.hmm import CLASSES, hmm_scores
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 1500)))) for i in range(60)] + [(None, "a b zzz"), (None, "a b zzz"), (3, None)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    c = Counter(w for i, t in rows if not held(i) for w in [*(t or "").split(), None])
+    n, classes = sum(c.values()), CLASSES + len(c)
+    got = hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=1, rounds=2, min_own=1).collect()
+    want = [sum(math.log10((c[w] + 0.01) / (n + 0.01 * classes)) for w in [*(t or "").split(), None]) for i, t in rows]
+    assert len(got) == len(rows)
+    assert np.allclose(sorted(r["score"] for r in got), sorted(want), rtol=1e-6, atol=1e-6)
+
+
 def test_packing(docs, empty):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
