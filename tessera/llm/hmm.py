@@ -30,10 +30,18 @@ _PART = "part long, id long, held_out boolean, ids binary, word binary, idx int,
 _DOC = "id long, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary"
 
 
+class Numbers(dict):
+    """Word -> its number, given when it is first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _count(part_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, used = TaskContext.get().partitionId() << 24, 0
-        vocabulary: dict[bytes, int] = {}
+        vocabulary = Numbers()
         counts = np.zeros(1 << 12, np.int64)
 
         def words() -> Iterator[pa.RecordBatch]:
@@ -50,12 +58,11 @@ def _count(part_bytes: int):
             for out, text in zip(held, texts, strict=True):
                 if used and used + len(text) > part_bytes:
                     yield from words()
-                    part, used, vocabulary = part + 1, 0, {}
+                    part, used, vocabulary = part + 1, 0, Numbers()
                     counts[:] = 0
                 used += len(text) + 64
                 own = text.lower().split()
-                number = vocabulary.setdefault
-                row = np.fromiter((number(w, len(vocabulary)) for w in own), np.int32, len(own))
+                row = np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own))
                 if len(vocabulary) > len(counts):
                     counts = np.concatenate([counts, np.zeros(max(len(counts), len(vocabulary)), np.int64)])
                 if not out:
@@ -81,20 +88,25 @@ def _encode(total: int, distinct: int, ends: int, class_n: np.ndarray, class_v:
         part, count, cls, ready = None, [], [], None
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for p, kind, c, k, i, held, ids in zip(*(batch.column(x).to_pylist() for x in range(7)), strict=True):
-                if p != part:
-                    part, count, cls, ready = p, [], [], None
-                if kind == 0:
-                    count.append(c)
-                    cls.append(k)
+            parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(parts) | np.diff(kinds)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(parts)], strict=True):
+                if lo == hi:
+                    continue
+                if parts[lo] != part:
+                    part, count, cls, ready = parts[lo], [], [], None
+                if kinds[lo] == 0:
+                    count.append(batch.column(2)[lo:hi].to_numpy())
+                    cls.append(batch.column(3)[lo:hi].to_numpy())
                     continue
                 if ready is None:
-                    cc, kk = np.array(count, np.int64), np.array(cls, np.int64)
-                    ready = (cc > 0, base_of(cc), np.where(kk < CLASSES, np.log10((cc + 0.1) / (class_n[kk] + 0.1 * (class_v[kk] + 1))), 0.0), kk.astype(np.uint16)) if len(cc) else (np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0, np.uint16))
-                own = np.frombuffer(ids, np.int32)
-                values = (i, held, len(own) + 1, int(ready[0][own].sum()) + (ends > 0), float(ready[1][own].sum() + base_of(ends)), float(ready[2][own].sum()), np.append(ready[3][own], end_class).tobytes())
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
+                    cc, kk = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (count, cls))
+                    ready = (cc > 0, base_of(cc), np.where(kk < CLASSES, np.log10((cc + 0.1) / (class_n[kk] + 0.1 * (class_v[kk] + 1))), 0.0), kk.astype(np.uint16))
+                for i, held, ids in zip(*(batch.column(x)[lo:hi].to_pylist() for x in (4, 5, 6)), strict=True):
+                    own = np.frombuffer(ids, np.int32)
+                    values = (i, held, len(own) + 1, int(ready[0][own].sum()) + (ends > 0), float(ready[1][own].sum() + base_of(ends)), float(ready[2][own].sum()), np.append(ready[3][own], end_class).tobytes())
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
             types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["id", "held_out", "n_tokens", "n_known", "base_score", "word_score", "classes"])
 
@@ -125,102 +137,106 @@ class Hmm:
     def forward(self, sequences: list[np.ndarray], keep: bool = False, prior: np.ndarray | None = None):
         """Natural log likelihoods by scaled forward recursion, all sequences a step at a time, longest first.
 
-        ``prior`` gives each sequence its own distribution of the first state. With ``keep`` the steps (classes seen,
-        state, scale) and the order of their rows come too.
+        Arrays hold a column a sequence. ``prior`` gives each its own distribution of the first state. With ``keep`` the
+        steps (classes seen, state, scale) and the order of their columns come too.
         """
-        lengths = np.array([len(s) for s in sequences])
-        order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        flat = np.concatenate([sequences[o] for o in order]).astype(np.int64)
-        begins = np.cumsum(lengths) - lengths
+        lengths, order, flat, begins = self._sorted(sequences)
+        move, emit = np.ascontiguousarray(self.move.T), np.ascontiguousarray(self.emit.T)
         total, steps = np.zeros(len(lengths)), []
-        alive = len(lengths)
-        alpha = None
+        alive, alpha = len(lengths), None
         for t in range(int(lengths[0])):
             while lengths[alive - 1] <= t:
                 alive -= 1
             seen = flat[begins[:alive] + t]
-            alpha = ((self.start if prior is None else prior[order]) if t == 0 else alpha[:alive] @ self.move) * self.emit[seen]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            total[:alive] += np.log(scale)
+            alpha = emit.take(seen, 1) * ((self.start[:, None] if prior is None else prior[:, order]) if t == 0 else move @ alpha[:, :alive])
+            scale = alpha.sum(0)
+            alpha /= scale
             if keep:
                 steps.append((seen, alpha, scale))
+            else:
+                total[:alive] += np.log(scale)
+        if keep:
+            return steps, order
         out = np.empty(len(lengths))
         out[order] = total
-        return (out, steps, order) if keep else out
-
-    def transfer(self, stretches: list[np.ndarray]) -> np.ndarray:
-        """For each stretch the matrix that takes the state before it to that at its end, up to a factor.
+        return out
 
-        Stretches are computed a step at a time, longest first.
-        """
-        states = len(self.start)
-        lengths = np.array([len(x) for x in stretches])
+    @staticmethod
+    def _sorted(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths, longest first, the order that sorts so, all classes in one array and where each sequence begins."""
+        lengths = np.array([len(s) for s in sequences])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        flat = np.concatenate([stretches[o] for o in order]).astype(np.int64)
-        begins, alive = np.cumsum(lengths) - lengths, len(lengths)
-        out = np.broadcast_to(np.eye(states), (len(lengths), states, states)).copy()
+        return lengths, order, np.concatenate([sequences[o] for o in order]).astype(np.int64), np.cumsum(lengths) - lengths
+
+    def transfer(self, stretches: list[np.ndarray]) -> np.ndarray:
+        """For each stretch the matrix (state at its end, state before it) that passes the state on, up to a factor."""
+        states = len(self.start)
+        lengths, order, flat, begins = self._sorted(stretches)
+        move, emit = np.ascontiguousarray(self.move.T), np.ascontiguousarray(self.emit.T)
+        out, alive = np.repeat(np.eye(states)[:, :, None], len(lengths), 2), len(lengths)
         for t in range(int(lengths[0])):
             while lengths[alive - 1] <= t:
                 alive -= 1
-            step = (out[:alive].reshape(-1, states) @ self.move).reshape(alive, states, states) * self.emit[flat[begins[:alive] + t]][:, None, :]
-            out[:alive] = step / step.sum((1, 2), keepdims=True)
+            step = (move @ out[:, :, :alive].reshape(states, -1)).reshape(states, states, alive)
+            step *= emit.take(flat[begins[:alive] + t], 1)[:, None, :]
+            step /= step.sum((0, 1))
+            out[:, :, :alive] = step
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        return out[back]
+        return out[:, :, back]
 
     def expected(self, sequences: list[np.ndarray], stretch: int = 1000) -> tuple[np.ndarray, float]:
         """Expected start, move and emit counts of the sequences, flattened (the E step), and their log likelihood."""
-        states = len(self.start)
-        stretches, first, owner = [], [], []
-        for k, s in enumerate(sequences):
-            for at in range(0, len(s), stretch):
-                stretches.append(s[at : at + stretch])
-                first.append(at == 0)
-                owner.append(k)
-        first, owner = np.array(first), np.array(owner)
+        states, emit = len(self.start), np.ascontiguousarray(self.emit.T)
+        cuts = [(s, at) for s in sequences for at in range(0, len(s), stretch)]
+        stretches, first = [s[at : at + stretch] for s, at in cuts], np.array([at == 0 for _, at in cuts])
         later = np.flatnonzero(~first)
-        come, leave = np.zeros((len(stretches), states)), np.ones((len(stretches), states))  # state before, future after
+        come, leave = np.zeros((states, len(cuts))), np.ones((states, len(cuts)))  # state before, future after
         if len(later):
-            passed = dict(zip(later.tolist(), self.transfer([stretches[k] for k in later]), strict=True))
-            long = np.flatnonzero(first & np.isin(np.arange(len(first)) + 1, later))
-            _, steps, order = self.forward([stretches[k] for k in long], True)
-            ends = np.empty((len(long), states))
+            passed = self.transfer([stretches[k] for k in later])
+            long = np.flatnonzero(first & np.append(~first[1:], False))
+            steps, order = self.forward([stretches[k] for k in long], True)
+            ends = np.empty((states, len(long)))
             for _, alpha, _ in steps:
-                ends[: len(alpha)] = alpha  # sequences end in reverse order; the last write is each one's end
-            state = dict(zip(long[order].tolist(), ends, strict=True))
-            for k in later.tolist():
-                come[k] = state[k - 1]
-                state[k] = come[k] @ passed[k]
-                state[k] /= state[k].sum()
-            for k in later[::-1].tolist():
-                leave[k - 1] = passed[k] @ leave[k]
-                leave[k - 1] /= leave[k - 1].sum()
-        prior = np.where(first[:, None], self.start, come @ self.move)
-        ll, steps, order = self.forward(stretches, True, prior)
-        leave, come, first = leave[order], come[order], first[order]
+                ends[:, : alpha.shape[1]] = alpha  # what a column holds last is its sequence's end
+            state = np.zeros((states, len(cuts)))
+            state[:, long[order]] = ends
+            for n, k in enumerate(later.tolist()):
+                come[:, k] = state[:, k - 1]
+                own = passed[:, :, n] @ come[:, k]
+                state[:, k] = own / own.sum()
+            for n, k in reversed([*enumerate(later.tolist())]):
+                own = leave[:, k] @ passed[:, :, n]
+                leave[:, k - 1] = own / own.sum()
+        steps, order = self.forward(stretches, True, np.where(first, self.start[:, None], self.move.T @ come))
+        leave, come, first = leave[:, order], come[:, order], first[order]
         move = np.zeros((states, states))
-        seen, gamma = [], []
+        seen, gamma, ll = [], [], 0.0
         beta = ahead_of = None
         for t in range(len(steps) - 1, -1, -1):
-            obs, alpha, _ = steps[t]
-            now = leave[: len(alpha)] / (alpha * leave[: len(alpha)]).sum(1, keepdims=True)
+            obs, alpha, scale = steps[t]
+            n = alpha.shape[1]
+            k = 0
             if ahead_of is not None:
-                ahead = self.emit[ahead_of[0]] * beta / ahead_of[2][:, None]
-                k = len(ahead)
-                move += alpha[:k].T @ ahead
-                now[:k] = ahead @ self.move.T
-            beta, ahead_of = now, steps[t]
+                beta *= emit.take(ahead_of[0], 1)
+                beta /= ahead_of[2]
+                k = beta.shape[1]
+                move += alpha[:, :k] @ beta.T
+                ahead = self.move @ beta
+            if k < n:  # sequences that end here
+                own = leave[:, k:n] / (alpha[:, k:] * leave[:, k:n]).sum(0)
+                ahead = np.concatenate([ahead, own], 1) if k else own
+            beta, ahead_of = ahead, steps[t]
+            ll += float(np.log(scale).sum())
             seen.append(obs)
             gamma.append(alpha * beta)
         if not first.all():
-            ahead = self.emit[ahead_of[0]] * beta / ahead_of[2][:, None]
-            move += come[~first].T @ ahead[~first]
-        all_seen, all_gamma = np.concatenate(seen), np.concatenate(gamma)
-        emit = np.stack([np.bincount(all_seen, all_gamma[:, s], len(self.emit)) for s in range(states)], 1)
-        return np.concatenate([gamma[-1][first].sum(0), (move * self.move).ravel(), emit.ravel()]), float(ll.sum())
+            beta = beta * emit.take(ahead_of[0], 1) / ahead_of[2]
+            move += come[:, ~first] @ beta[:, ~first].T
+        all_seen = np.concatenate(seen)
+        by_state = [np.bincount(all_seen, np.concatenate([g[s] for g in gamma]), len(self.emit)) for s in range(states)]
+        return np.concatenate([gamma[-1][:, first].sum(1), (move * self.move).ravel(), np.stack(by_state, 1).ravel()]), ll
 
 
 def _batches_of(rows: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
