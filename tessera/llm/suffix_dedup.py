@@ -7,8 +7,10 @@ text is never shuffled). Each part reports its distinct anchors; told which of t
 text around them, equal segments once. The tasks that receive the segments sort their suffixes: initial buckets by
 8-grams, refined by sorting on pairs of bucket identifiers (own, and that of a later offset), whose updates serve the
 next, twice as deep round, until the buckets are 200 bytes deep. Buckets with two or more suffixes are the repeats.
-Anchors with more segments than a task's even share are instead resolved window by window: first within the part,
-then by an aggregation on 128-bit digests.
+An anchor with more segments than a task's even share is split by the next gram: the windows of its segments are grouped
+by the smallest gram under another hash besides, again with equal windows together, until groups are small or the
+grams are used up; then they are refined like the others. Equal segments meet in order and are known as repeats without
+being held, so a task holds different segments only.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Workspace, sized, text_of
@@ -43,15 +45,16 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
         return mix64(h16[: len(b) - GRAM + 1] + p[4] * h8[16 : 16 + len(b) - GRAM + 1])
 
 
-def anchor_runs(b: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(b: np.ndarray, doc: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, last window) of the runs of windows that share an anchor.
 
-    ``doc`` numbers the document of each byte; windows lie within one document. At most 2**24 bytes at a time.
+    ``doc`` numbers the document of each byte; windows lie within one document. At most 2**24 bytes at a time. Another
+    ``salt`` is another order of the grams.
     """
     n, w = len(b), length - GRAM + 1
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = gram_hashes(b)
+    h = mix64(gram_hashes(b) ^ np.uint64(salt)) if salt else gram_hashes(b)
     low = np.uint64((1 << 24) - 1)
     m = len(h)
     v = np.full(-(-m // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -154,6 +157,7 @@ def _segments(length: int):
             "g": pa.array(np.array([k[0] for k in own], np.uint64).view(np.int64)),
             "part": pa.array([key[0].as_py()] * len(own), pa.int64()),
             "seg": pa.array(range(len(own)), pa.int64()),
+            "base": pa.array([0] * len(own), pa.int64()),
             "many": pa.array([c > 1 for c in counts], pa.bool_()),
             "bytes": pa.array([k[1] for k in own], pa.binary()),
         })
@@ -199,6 +203,8 @@ def refine_buckets(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [out[e - s : e - length + 1] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+_SEGMENT = "g long, part long, seg long, base long, many boolean, bytes binary"
+_SEGMENT_COLUMNS = ("g", "part", "seg", "base", "many", "bytes")
 _COVER = "part long, seg long, lo long, hi long"
 
 
@@ -208,67 +214,79 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _refine(length: int, batch_bytes: int = 3 << 20):
-    """Rows sorted by anchor: whole anchors are gathered up to a size, equal segments once, and sorted together."""
+    """Rows sorted by anchor and bytes: whole anchors are gathered up to a size and sorted together.
 
-    def solve(held: dict[bytes, list]) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
-        segments = list(held)
-        for segment, flags in zip(segments, refine_buckets(segments, length), strict=True):
-            owners = held[segment]
-            if len(owners) > 1 or owners[0][2]:
-                flags = np.ones(len(flags), bool)
-            for lo, hi in _ranges(flags):
-                for part, seg, _ in owners:
-                    for column, value in zip(out, (part, seg, lo, hi), strict=True):
-                        column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["part", "seg", "lo", "hi"])
+    A segment equal to the one before is a repeat from end to end; so is that one. Only different ones are held.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
+        out: list[list] = [[], [], [], []]
+        held: list[list] = []
         size, last = 0, None
+
+        def add(part: int, seg: int, lo: int, hi: int) -> None:
+            for column, value in zip(out, (part, seg, lo, hi), strict=True):
+                column.append(value)
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["part", "seg", "lo", "hi"])
+            for column in out:
+                column.clear()
+            return rows
+
+        def solve() -> None:
+            for (part, seg, base, many, segment), flags in zip(held, refine_buckets([h[4] for h in held], length), strict=True):
+                for lo, hi in [(0, len(segment) - length)] if many else _ranges(flags):
+                    add(part, seg, base + lo, base + hi)
+            held.clear()
+
         for batch in batches:
-            for g, part, seg, many, segment in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for g, part, seg, base, many, segment in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if g == last and held and held[-1][4] == segment:
+                    held[-1][3] = True
+                    add(part, seg, base, base + len(segment) - length)
+                    continue
                 if g != last and size >= batch_bytes:
-                    yield solve(held)
-                    held, size = {}, 0
+                    solve()
+                    size = 0
                 last = g
-                if segment not in held:
-                    size += len(segment)
-                held.setdefault(segment, []).append((part, seg, many))
+                held.append([part, seg, base, many, segment])
+                size += len(segment)
+            if len(out[0]) > 50_000:
+                yield flush()
         if held:
-            yield solve(held)
+            solve()
+        yield flush()
 
     return work
 
 
-def _windows(length: int):
-    """The windows of a part's hot segments: one row a digest, known to repeat if the part itself holds it twice.
+def _split(length: int, salt: int):
+    """The segments of hot anchors, cut where the smallest gram under another hash changes."""
 
-    Windows that repeat within the part come as ranges (h null) besides, so they need no answer.
-    """
-
-    def work(key, rows):
-        first: dict[bytes, tuple[int, int]] = {}
-        twice: set[bytes] = set()
-        own: list[tuple[int, bool, list[bytes]]] = []
-        for seg, many, segment in zip(*(rows.column(c).to_pylist() for c in ("seg", "many", "bytes")), strict=True):
-            digests = [hashlib.blake2b(segment[k : k + length], digest_size=16).digest() for k in range(len(segment) - length + 1)]
-            for k, h in enumerate(digests):
-                if many or h in first:
-                    twice.add(h)
-                first.setdefault(h, (seg, k))
-            own.append((seg, many, digests))
-        out: list[list] = [[] for _ in range(6)]
-        part = key[0].as_py()
-        for seg, _, digests in own:
-            for lo, hi in _ranges(np.array([h in twice for h in digests])):
-                for column, value in zip(out, (None, part, seg, lo, hi, True), strict=True):
-                    column.append(value)
-        for h, (seg, k) in first.items():
-            for column, value in zip(out, (h, part, seg, k, k, h in twice), strict=True):
-                column.append(value)
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("h", "part", "seg", "lo", "hi", "known"), out, types, strict=True)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, texts = batch.column(0).to_numpy().view(np.uint64), batch.column(5).to_pylist()
+            b, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+            begins, rows, at = np.cumsum(sizes) - sizes, [], 0
+            while at < len(texts):  # segments are short; so many at a time as anchor_runs takes
+                end = max(at + 1, int(np.searchsorted(begins + sizes, begins[at] + CHUNK)))
+                lo, hi = begins[at], begins[end - 1] + sizes[end - 1]
+                h, first, last = anchor_runs(b[lo:hi], np.repeat(np.arange(at, end), sizes[at:end]), length, salt)
+                rows.append((h, first + lo, last + lo))
+                at = end
+            h, first, last = (np.concatenate(x) for x in zip(*rows, strict=True))
+            own = np.searchsorted(begins, first, "right") - 1
+            raw = b.tobytes()
+            with np.errstate(over="ignore"):
+                key = mix64(g[own] * np.uint64(3) + h)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key.view(np.int64)), batch.column(1).take(pa.array(own)), batch.column(2).take(pa.array(own)),
+                pa.array(batch.column(3).to_numpy()[own] + first - begins[own]), batch.column(4).take(pa.array(own)),
+                pa.array([raw[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
+            ], batch.schema.names)
 
     return work
 
@@ -310,13 +328,15 @@ def _remove(length: int):
     return work
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, part_bytes: int = 8 << 20, hot_least: int = 1024) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, part_bytes: int = 8 << 20, hot_least: int = 1024, levels: int = 4) -> DataFrame:
     """Removes each byte covered by a ``length``-byte string that also starts anywhere else, same row included.
 
     Returns one row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (bytes).
     Matches lie within one row's UTF-8 text and are judged on the input. Null texts are empty; texts shorter than
     ``length`` keep all bytes; repeated rows are copies of each other; null ids are kept as they are; an empty table
-    gives an empty result; other columns are ignored. length must be at least 25.
+    gives an empty result; other columns are ignored; a text may have any length. length must be at least 25.
+    ``hot_least`` and ``levels`` say from how many segments and how often an anchor is split; results do not depend on
+    them.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix-dedup")
@@ -331,25 +351,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return parts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(work, schema)
 
     # The anchors come grouped by part straight from the buckets; only (anchor, part) is shuffled.
-    anchors = parts.groupBy("part").applyInArrow(_anchors(length), "part long, g long, many boolean")
-    by_anchor = Window.partitionBy("g")
-    told = ws.table(anchors.withColumn("n", F.count(F.lit(1)).over(by_anchor)).where("n > 1 or many").select("part", "g"), "told")
-    segments = ws.table(of(told, _segments(length), "g long, part long, seg long, many boolean, bytes binary"), "segments")
-    # An anchor is hot if its segments alone are more than a task's even share.
-    limit = max(hot_least, segments.count() // n_parts)
-    hot = ws.table(segments.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("g"), "hot")
-    any_hot = not hot.isEmpty()
-    few = segments.join(sized(hot), "g", "left_anti") if any_hot else segments
-    cover = few.repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(_refine(length), _COVER)
-    if any_hot:
-        found = segments.join(sized(hot), "g", "left_semi").select("part", "seg", "many", "bytes")
-        windows = ws.table(found.groupBy("part").applyInArrow(_windows(length), "h binary, part long, seg long, lo long, hi long, known boolean"), "windows")
-        digests = windows.where("h is not null")
-        twice = digests.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        cover = cover.unionByName(windows.where("h is null").select("part", "seg", "lo", "hi")).unionByName(digests.where("not known").join(twice, "h", "left_semi").select("part", "seg", "lo", "hi"))
+    anchors = ws.table(parts.groupBy("part").applyInArrow(_anchors(length), "part long, g long, many boolean"), "anchors")
+    repeated = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("any")).where("n > 1 or any").select("g")
+    told = ws.table(anchors.select("part", "g").join(sized(ws.table(repeated, "repeated")), "g", "left_semi").select("part", "g"), "told")
+    ws.drop("anchors", "repeated")
+    found = ws.table(of(told, _segments(length), _SEGMENT), "segments")
+    # An anchor is hot if its segments alone are more than a task's even share; it is split by further grams.
+    limit = max(hot_least, found.count() // n_parts)
+    cover = None
+    for level in range(levels + 1):
+        hot = ws.table(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("g"), "hot")
+        done = level == levels or hot.isEmpty()
+        few = found if done else found.join(sized(hot), "g", "left_anti")
+        own = few.repartition(n_parts, "g").sortWithinPartitions("g", "bytes").mapInArrow(_refine(length), _COVER)
+        cover = own if cover is None else cover.unionByName(own)
+        if done:
+            break
+        found = ws.table(found.join(sized(hot), "g", "left_semi").select(*_SEGMENT_COLUMNS).mapInArrow(_split(length, level + 1), _SEGMENT), "split")
     cover = ws.table(cover, "cover")
-    ws.drop("segments", "windows", "hot")
+    ws.drop("segments", "split", "hot")
     both = told.select("part", "g", *[F.lit(None).cast("long").alias(c) for c in ("seg", "lo", "hi")]).unionByName(cover.select("part", F.lit(None).cast("long").alias("g"), "seg", "lo", "hi"))
-    out = ws.result(of(both, _remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>").withColumnRenamed("id", id_col))
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        out = ws.result(of(both, _remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>").withColumnRenamed("id", id_col))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     return out

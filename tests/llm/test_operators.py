@@ -68,13 +68,13 @@ def test_exact_dedup_repeated_rows(docs):
     assert len(r) == len({bare(t) for t in texts()})
 
 
-@pytest.mark.parametrize("hot_least", [1024, 1])
-def test_suffix_dedup(docs, empty, hot_least):
+@pytest.mark.parametrize(("hot_least", "levels"), [(1024, 4), (1, 1), (1, 3)])
+def test_suffix_dedup(docs, empty, hot_least, levels):
     from tessera.llm.suffix_dedup import suffix_dedup
 
     rows = [(t or "").encode() for t in texts()]
     seen = Counter(b[k : k + 200] for b in rows for k in range(len(b) - 199))
-    got = {r["doc_id"]: r for r in suffix_dedup(docs, part_bytes=4000, hot_least=hot_least).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup(docs, part_bytes=4000, hot_least=hot_least, levels=levels).collect()}
     for i, b in enumerate(rows):
         m = bytearray(len(b))
         for k in range(len(b) - 199):
@@ -86,6 +86,28 @@ def test_suffix_dedup(docs, empty, hot_least):
     assert suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_hot_passage(spark):
+    """A passage common to many rows with different text about it, whole and cut, repeated rows and null ids."""
+    from tessera.llm.suffix_dedup import suffix_dedup
+
+    rng = random.Random(6)
+    passage = " ".join(str(rng.random()) for _ in range(30))
+    texts_ = [f"{rng.random()} {passage[rng.choice([0, 0, 3, 250]) :]} {rng.choice(['x', 'y'])}{rng.random()}" for _ in range(90)]
+    rows = [(None if i % 7 == 0 else i, t) for i, t in enumerate(texts_)] + [(3, texts_[3]), (None, None)]
+    raw = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    want = []
+    for (i, _), b in zip(rows, raw, strict=True):
+        m = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                m[k : k + 200] = b"\1" * 200
+        want.append((str(i), len(b), sum(m), len(re.findall(b"\1+", bytes(m)))))
+    for levels in (4, 0):
+        got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), part_bytes=20_000, hot_least=5, levels=levels).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == sorted(want)
+
+
 def test_refine_buckets():
     from tessera.llm.suffix_dedup import refine_buckets
 
