@@ -8,10 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sentinels that count as missing text, the stop words and the patterns of the text features.
+# Sentinels that count as missing text and the patterns of the text features.
 MISSING = ("", "nan", "none", "null", "n/a", "na")
-STOP = ("the", "a", "an", "of", "in", "and", "or", "to", "is", "are", "was", "were", "for", "with", "on", "by", "that", "this", "which", "what", "how", "does", "do", "be", "as", "at", "from", "it", "its")
-SEARCH_TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 
 
@@ -50,19 +49,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
 
 
+def ascii_lower(text: Column) -> Column:
+    """Lower case of A-Z only, which keeps what the token patterns match."""
+    return F.translate(text, UPPER, UPPER.lower())
+
+
 def search_tokens(text: Column) -> Column:
     """Lower-cased search tokens of two or more characters."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SEARCH_TOKEN), F.lit(0)), lambda w: F.lower(w))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9][a-z0-9\-]+"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def content_words(text: Column) -> Column:
-    """Distinct search tokens longer than two characters that are no stop words."""
-    stop = F.array(*map(F.lit, STOP))
-    return F.array_distinct(F.filter(search_tokens(text), lambda w: (F.char_length(w) > 2) & ~F.array_contains(stop, w)))
+def content_words(text: Column, stop: tuple[str, ...]) -> Column:
+    """Distinct search tokens that are no stop words."""
+    return F.array_distinct(F.filter(search_tokens(text), lambda w: ~w.isin(*stop)))
 
 
 def bigrams(words: Column) -> Column:
@@ -77,14 +80,3 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def question_type(text: Column) -> Column:
-    """list, summary, yesno or factoid, by leading and key words."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(t.rlike(r"^\s*(list|name|which .*s are|what are)\b"), "list")
-        .when(t.rlike(r"\b(describe|explain|summari[sz]e|overview|how does|how do|what is known)\b"), "summary")
-        .when(t.rlike(r"^\s*(is|are|does|do|can|could|has|have|was|were|will|should)\b"), "yesno")
-        .otherwise("factoid")
-    )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -16,10 +18,10 @@ UNIT = "unit_id long, strategy string, chunk_index int, text string, n_tokens in
 FIXED = (256, 32)
 CHILD = (96, 16)
 ROUTE_SHORT, ROUTE_RELATION, ROUTE_ENTITY, ROUTE_SHIFT, ROUTE_LONG = 180, 0.015, 0.012, 0.65, 700
-RELATION = r"(?i)^(inhibits?|activates?|induces?|regulates?|binds?|causes?|treats?|reduces?|increases?|decreases?)\W*$"
-NEGATION = r"(?i)^(no|not|never|without|none|neither|nor)\W*$"
+RELATION = r"^(inhibits?|activates?|induces?|regulates?|binds?|causes?|treats?|reduces?|increases?|decreases?)\W*$"
+NEGATION = r"^(no|not|never|without|none|neither|nor)\W*$"
 ENTITY = r"^[A-Z0-9]*[A-Z][A-Z0-9-]*[A-Z0-9]\W*$"
-CONJUNCTION = r"(?i)(?:;|, and | and | but | whereas | while )"
+CONJUNCTION = r"(?i)\s+(?:and|but|while|whereas|although|because|therefore|however)\s+"
 
 
 def chunk_id(parent: Column, strategy: Column, index: Column, text: Column) -> Column:
@@ -58,78 +60,72 @@ def _cut(sentence: str, size: int) -> list[str]:
 _BREAK = re.compile(T.SENTENCE_BREAK)
 
 
+def fill(lengths: list[int], size: int, cut: frozenset[int] = frozenset(), closing: frozenset[int] = frozenset(), room: int = 0) -> list[int]:
+    """The group of each piece when groups are filled in order up to size.
+
+    A piece in ``cut`` opens a group. One in ``closing`` may overflow a group of fewer than ``room`` words, and ends it.
+    """
+    groups, group, used, ended = [], 0, 0, False
+    for i, n in enumerate(lengths):
+        over = used + n > size
+        stretched = bool(used) and over and i in closing and used < room and not ended
+        if used and (ended or i in cut or (over and not stretched)):
+            group, used = group + 1, 0
+        used, ended = used + n, stretched
+        groups.append(group)
+    return groups
+
+
+def gather(pieces: list[str], groups: list[int]) -> list[str]:
+    return [" ".join(p for _, p in own) for _, own in groupby(zip(groups, pieces, strict=True), key=itemgetter(0))]
+
+
+def absorb(units: list[str], least: int, size: int) -> list[str]:
+    """Units of fewer than ``least`` words join the one before where both fit."""
+    lengths = [len(u.split()) for u in units]
+    groups, total = [], 0
+    for n in lengths:
+        joins = bool(groups) and n < least and total + n <= size
+        groups.append(groups[-1] if joins else len(groups))
+        total = total + n if joins else n
+    return gather(units, groups)
+
+
 def recursive(text: str, size: int = 256, least: int = 32) -> list[str]:
-    """Paragraphs that fit stay whole; others are packed by sentences; small units join the one before."""
+    """Paragraphs that fit stay whole; others are filled by sentences, long ones cut; small units join the one before."""
     units: list[str] = []
     for paragraph in re.split(r"\n\s*\n", text):
-        if len(paragraph.split()) <= size:
-            units.append(paragraph)
-            continue
-        held, n = [], 0
-        for s in _BREAK.split(paragraph):
-            k = len(s.split())
-            if n + k > size and held:
-                units.append(" ".join(held))
-                held, n = [], 0
-            if k > size:
-                units += _cut(s, size)
-            else:
-                held.append(s)
-                n += k
-        if held:
-            units.append(" ".join(held))
-    merged: list[str] = []
-    for u in _units(units):
-        if merged and len(u.split()) < least and len(merged[-1].split()) + len(u.split()) <= size:
-            merged[-1] += " " + u
-        else:
-            merged.append(u)
-    return merged
+        pieces = [paragraph] if len(paragraph.split()) <= size else [c for s in _BREAK.split(paragraph) for c in _cut(s, size)]
+        units += gather(pieces, fill([len(p.split()) for p in pieces], size))
+    return absorb(_units(units), least, size)
 
 
 def biomedical(text: str, size: int = 384, slack: float = 1.15) -> list[str]:
-    """Sentences packed up to size; a relation or negation sentence may overflow a little and closes its group."""
-    signal = re.compile("|".join(f"(?:{p})" for p in (RELATION.replace("(?i)", "").strip("^$"), NEGATION.replace("(?i)", "").strip("^$"))), re.I)
-    units, held, n = [], [], 0
-    for s in _BREAK.split(text):
-        k = len(s.split())
-        if held and n + k > size:
-            if n < size * slack and any(signal.fullmatch(w) for w in s.split()):
-                units.append(" ".join([*held, s]))
-                held, n = [], 0
-                continue
-            units.append(" ".join(held))
-            held, n = [], 0
-        held.append(s)
-        n += k
-    if held:
-        units.append(" ".join(held))
-    return _units(units)
+    """Sentences filled up to size; a relation or negation sentence may overflow a little and closes its group."""
+    signal = re.compile(f"(?:{RELATION})|(?:{NEGATION})")
+    pieces = _BREAK.split(text)
+    closing = frozenset(i for i, s in enumerate(pieces) if any(signal.match(w.lower()) for w in s.split()))
+    return _units(gather(pieces, fill([len(s.split()) for s in pieces], size, closing=closing, room=int(size * slack))))
+
+
+def adjacent_similarity(sentences: list[str]) -> list[float]:
+    """Jaccard similarity of each sentence's search tokens with those of the one before (a stand-in for embeddings)."""
+    words = [set(re.findall(r"[a-z0-9][a-z0-9\-]+", s.lower())) for s in sentences]
+    return [len(a & b) / max(len(a | b), 1) for a, b in zip(words, words[1:], strict=False)]
 
 
 def semantic(text: str, threshold: float = 0.02, size: int = 384, least: int = 40) -> list[str]:
-    """Breaks where neighbouring sentences share too few words (lexical stand-in for embeddings) or a unit is full."""
-    sentences = _units(_BREAK.split(text))
-    words = [set(re.findall(T.SEARCH_TOKEN, s.lower())) for s in sentences]
-    units, held, n = [], [], 0
-    for i, s in enumerate(sentences):
-        k = len(s.split())
-        if held:
-            union = words[i] | words[i - 1]
-            if (len(words[i] & words[i - 1]) / len(union) if union else 0.0) < threshold or n + k > size:
-                units.append((" ".join(held), n))
-                held, n = [], 0
-        held.append(s)
-        n += k
-    if held:
-        units.append((" ".join(held), n))
-    merged: list[tuple[str, int]] = []
-    for u, k in units:
-        if merged and k < least and merged[-1][1] + k <= size:
-            merged[-1] = (f"{merged[-1][0]} {u}", merged[-1][1] + k)
-        else:
-            merged.append((u, k))
-    return [u for u, _ in merged]
+    """Breaks where neighbouring sentences are less alike than the threshold or a unit is full."""
+    pieces = _units(_BREAK.split(text))
+    cut = frozenset(i + 1 for i, x in enumerate(adjacent_similarity(pieces)) if x < threshold)
+    return absorb(gather(pieces, fill([len(s.split()) for s in pieces], size, cut)), least, size)
+
+
+def semantic_threshold(passages: DataFrame, percentile: float = 0.2) -> DataFrame:
+    """One row: the percentile of all neighbouring sentences' similarities, and their number."""
+    s = passages.select("unit_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("w", F.array_distinct(T.search_tokens(F.col("sentence"))))
+    before = F.lag("w").over(Window.partitionBy("unit_id").orderBy("pos"))
+    return s.withColumn("v", before).where("v is not null").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.percentile(T.jaccard(F.col("w"), F.col("v")), F.lit(percentile)), 9).alias("threshold"))
 
 
 PACKERS = {"recursive": recursive, "biomedical": biomedical, "semantic": semantic}
@@ -150,7 +146,7 @@ def packed_chunks(passages: DataFrame, strategy: str) -> DataFrame:
 
 def proposition_chunks(passages: DataFrame, most: int = 96) -> DataFrame:
     """Sentences split on conjunctions, trimmed, long ones cut."""
-    trimmed = lambda s: F.regexp_replace(s, r"^[\s,;:]+|[\s,;:]+$", "")
+    trimmed = lambda s: F.regexp_replace(s, r"^[ ,;:]+|[ ,;:]+$", "")
     parts = F.flatten(F.transform(T.sentences(F.col("text")), lambda s: F.transform(F.split(s, CONJUNCTION), trimmed)))
     words = F.transform(F.filter(parts, lambda p: p != ""), lambda p: T.tokens(p))
     cut = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(most)), lambda i: F.slice(w, i + 1, F.lit(most)))))
@@ -166,7 +162,7 @@ def routing_profile(passages: DataFrame) -> DataFrame:
     k = F.size("s") - 1
     shifts = F.transform(F.sequence(F.lit(1), k), lambda i: 1 - T.jaccard(F.element_at("s", i), F.element_at("s", i + 1)))
     shift = F.when(k > 0, F.aggregate(shifts, F.lit(0.0), lambda a, x: a + x) / k).otherwise(F.lit(0.0))
-    p = d.select("unit_id", F.size("w").cast("long").alias("n_tokens"), F.size("s").cast("long").alias("n_sentences"), F.round(density(RELATION), 9).alias("relation_density"), F.round(density(NEGATION), 9).alias("negation_density"), F.round(density(ENTITY), 9).alias("entity_density"), F.round(shift, 6).alias("topic_shift"))
+    p = d.select("unit_id", F.size("w").cast("long").alias("n_tokens"), F.size("s").cast("long").alias("n_sentences"), F.round(density("(?i)" + RELATION), 9).alias("relation_density"), F.round(density("(?i)" + NEGATION), 9).alias("negation_density"), F.round(density(ENTITY), 9).alias("entity_density"), F.round(shift, 6).alias("topic_shift"))
     route = (
         F.when(F.col("n_tokens") <= ROUTE_SHORT, "recursive")
         .when((F.col("relation_density") >= ROUTE_RELATION) & (F.col("negation_density") > 0), "biomedical")
@@ -178,14 +174,24 @@ def routing_profile(passages: DataFrame) -> DataFrame:
     return p.withColumn("route", route)
 
 
+def children(text: str, size: int = CHILD[0], overlap: int = CHILD[1]) -> list[str]:
+    """Sliding windows over the words; the last is the first that reaches the end."""
+    w = text.split()
+    return [" ".join(w[at : at + size]) for at in range(0, max(1, len(w) - overlap), size - overlap)] if w else []
+
+
 def adaptive_chunks(passages: DataFrame) -> DataFrame:
-    """Each passage cut by the chunker its profile routes it to."""
-    routed = passages.join(routing_profile(passages).select("unit_id", "route"), "unit_id")
-    out = window_chunks(routed.where("route = 'parent_child'"), *CHILD, "adaptive").withColumn("routed_to", F.lit("parent_child"))
-    for s in PACKERS:
-        own = packed_chunks(routed.where(F.col("route") == s), s).withColumn("strategy", F.lit("adaptive")).withColumn("routed_to", F.lit(s))
-        out = out.unionByName(own.withColumn("chunk_id", chunk_id(F.col("unit_id"), F.col("strategy"), F.col("chunk_index"), F.col("text"))))
-    return out
+    """Each passage cut by the chunker its profile routes it to, in one pass."""
+    routed = passages.join(routing_profile(passages).select("unit_id", "route"), "unit_id").select("unit_id", "text", "route")
+    packers = PACKERS | {"parent_child": children}
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, "adaptive", k, u, len(u.split()), r) for i, t, r in zip(f["unit_id"], f["text"], f["route"], strict=True) for k, u in enumerate(packers[r](t or ""))]
+            yield pd.DataFrame(rows, columns=["unit_id", "strategy", "chunk_index", "text", "n_tokens", "routed_to"])
+
+    out = routed.mapInPandas(work, "unit_id long, strategy string, chunk_index int, text string, n_tokens int, routed_to string")
+    return out.withColumn("chunk_id", chunk_id(F.col("unit_id"), F.col("strategy"), F.col("chunk_index"), F.col("text")))
 
 
 def boundary_plan_ok(plan: Column, n: Column) -> Column:
@@ -221,3 +227,35 @@ def token_coverage(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     a, b = count(passages), count(chunks).withColumnRenamed("n", "m")
     both = a.join(b, ["unit_id", "t"], "left")
     return both.groupBy("unit_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("coverage"))
+
+
+def size_sweep(passages: DataFrame, grid: tuple[tuple[int, int], ...] = ((128, 16), (256, 32), (384, 48), (512, 64))) -> DataFrame:
+    """(size, overlap, n_chunks, n_tokens, bytes): what each window size and overlap would store, from lengths alone.
+
+    Bytes are those of vectors of 1536 floats.
+    """
+    n = passages.select(F.size(T.tokens(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    own = F.explode(F.array(*[F.struct(F.lit(a).alias("size"), F.lit(b).alias("overlap")) for a, b in grid]))
+    g = n.select("n", own.alias("g")).select("n", "g.size", "g.overlap", (F.col("g.size") - F.col("g.overlap")).alias("step"))
+    k = F.floor(F.greatest(F.col("n") - F.col("overlap") - 1, F.lit(0)) / F.col("step")) + 1
+    stored = F.col("n") + (k - 1) * F.col("overlap")
+    return g.groupBy("size", "overlap").agg(F.sum(k).alias("n_chunks"), F.sum(stored).alias("n_tokens"), (F.sum(k) * (1536 * 4)).alias("bytes"))
+
+
+def parent_summary(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """One row: parents, children, children a parent at least, on average and at most, and children without a parent."""
+    known = chunks.join(passages.select("unit_id", F.lit(True).alias("known")), "unit_id", "left")
+    per = known.groupBy("unit_id").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("known").isNull()).alias("orphans"))
+    return per.agg(F.count(F.lit(1)).alias("n_parents"), F.sum("k").alias("n_children"), F.min("k").alias("least"), F.round(F.avg("k"), 6).alias("mean"), F.max("k").alias("most"), F.sum("orphans").alias("orphans"))
+
+
+def best_answer_recall(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, recall): the largest share of an answer's tokens (with repeats) that one chunk holds.
+
+    answers: (query_id, unit_id, answer) names the passage whose chunks may hold it.
+    """
+    words = lambda df, keys, c, n: df.select(*keys, F.explode(T.search_tokens(F.col(c))).alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias(n))
+    a, b = words(answers, ("query_id", "unit_id"), "answer", "n"), words(chunks, ("unit_id", "chunk_index"), "text", "m")
+    same = a.join(b, ["unit_id", "t"]).groupBy("query_id", "unit_id", "chunk_index").agg(F.sum(F.least("n", "m")).alias("same")).groupBy("query_id").agg(F.max("same").alias("same"))
+    total = a.groupBy("query_id", "unit_id").agg(F.sum("n").alias("n")).groupBy("query_id").agg(F.max("n").alias("n"))
+    return total.join(same, "query_id", "left").select("query_id", F.round(F.coalesce("same", F.lit(0)) / F.col("n"), 9).alias("recall"))

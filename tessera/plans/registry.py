@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, evaluation, graph, ingest, retrieval
+from tessera.operators import chunking, evaluation, graph, ingest, retrieval, routing
 from tessera.sources.tables import passages, questions, scan, seeded_sample, table_counts
 
 _QUERIES: dict = {}
@@ -36,11 +36,13 @@ TOK = r"regexp_extract_all({0}, '\S+')"
 SEARCH = r"list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9\-]+'), lambda w: lower(w))"
 SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 DOC = "coalesce(text, '')"
+BIG = r"list_transform(list_zip(SEARCH({0})[:-2], SEARCH({0})[2:]), lambda p: p[1] || ' ' || p[2])"
+#: Sentinels of missing text, as in the functions.
 MISSING = "('', 'nan', 'none', 'null', 'n/a', 'na')"
 
 
 def _pieces(sql: str) -> str:
-    for name, value in (("TOK", TOK), ("SEARCH", SEARCH), ("SENT", SENT)):
+    for name, value in (("BIG", BIG), ("TOK", TOK), ("SEARCH", SEARCH), ("SENT", SENT)):
         while f"{name}(" in sql:
             at = sql.index(f"{name}(")
             depth, end = 0, at + len(name)
@@ -49,7 +51,7 @@ def _pieces(sql: str) -> str:
                 end += 1
                 if not depth:
                     break
-            sql = sql[:at] + value.format(sql[at + len(name) + 1 : end - 1]) + sql[end:]
+            sql = sql[:at] + value.replace("{0}", sql[at + len(name) + 1 : end - 1]) + sql[end:]
     return sql
 
 
@@ -224,7 +226,7 @@ BM25_SQL = _pieces(rf"""WITH d AS (SELECT doc_id AS unit_id, SEARCH({DOC}) AS w
  idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
  q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(SEARCH({DOC})) AS term FROM benchmark) GROUP BY 1, 2),
  z AS (SELECT query_id, unit_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN q USING (term) JOIN idf USING (term), s GROUP BY 1, 2),
- bm AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score FROM z QUALIFY rank <= 10 AND score > 0)
+ bm AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score FROM z QUALIFY rank <= 40 AND score > 0)
  """)
 CAND_SQL = BM25_SQL + f", cand AS (SELECT query_id, unit_id, rank, score, b.text AS question, coalesce(x.text, '') AS text FROM bm JOIN benchmark b ON b.item_id = query_id JOIN documents x ON x.doc_id = unit_id)"
 
@@ -233,15 +235,15 @@ def _bm25(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     return retrieval.bm25_search(passages(spark, sf), questions(spark, sf), k)
 
 
-#: Units a question that a reranker sees where no SQL holds it to ten.
+#: Units a question that channels give and rerankers see; results are cut to ten at the end.
 POOL = 40
 
 
-def _candidates(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+def _candidates(spark: SparkSession, sf: str, k: int = POOL) -> DataFrame:
     return _bm25(spark, sf, k).join(questions(spark, sf), "query_id").join(passages(spark, sf), "unit_id")
 
 
-@query(BM25_SQL + "SELECT * FROM bm")
+@query(BM25_SQL + "SELECT * FROM bm WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf)
 
@@ -272,9 +274,19 @@ def dense_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.dense_search(*_vectors(spark, sf), cosine=True)
 
 
+def _ivf(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, asked = _vectors(spark, sf)
+    return retrieval.IvfIndex(vectors).search(asked)
+
+
+@query()
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.recall_at_k(_ivf(spark, sf), retrieval.dense_search(*_vectors(spark, sf)))
+
+
 @query()
 def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.ivf_search(*_vectors(spark, sf))
+    return _ivf(spark, sf)
 
 
 OVERLAP = r"len(list_intersect(list_distinct(SEARCH(question)), list_distinct(SEARCH(text)))) / (len(list_distinct(SEARCH(question))) + 1e-9)"
@@ -282,7 +294,7 @@ JACC = r"len(list_intersect(list_distinct(SEARCH(question)), list_distinct(SEARC
 
 
 def _rerank_sql(score: str) -> str:
-    return CAND_SQL + _pieces(f", y AS (SELECT query_id, unit_id, round({score}, 6) AS score FROM cand) SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score FROM y")
+    return CAND_SQL + _pieces(f", y AS (SELECT query_id, unit_id, round({score}, 6) AS score FROM cand) SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score FROM y QUALIFY rank <= 10")
 
 
 @query(_rerank_sql(OVERLAP))
@@ -295,41 +307,28 @@ def jaccard_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.rerank(_candidates(spark, sf), "jaccard")
 
 
-@query()
-def proxy_ce_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.rerank(_candidates(spark, sf, POOL), "cross_encoder_proxy")
-
+PROXY = r"""0.55 * (len(list_intersect(list_distinct(SEARCH(question)), list_distinct(SEARCH(text)))) / greatest(len(list_distinct(SEARCH(question))), 1))
+ + 0.35 * (len(list_intersect(list_distinct(BIG(question)), list_distinct(BIG(text)))) / greatest(len(list_distinct(BIG(question))), 1)) + 0.10 * contains(lower(text), lower(trim(question)))::INT"""
 
-LEX_SQL = _pieces(f", y AS (SELECT query_id, unit_id, round({JACC}, 6) AS score FROM cand), lex AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM y), ch AS (SELECT query_id, unit_id, rank FROM bm UNION ALL SELECT query_id, unit_id, rank FROM lex)")
 
-
-def _channels(spark: SparkSession, sf: str) -> DataFrame:
-    c = _candidates(spark, sf)
-    return c.select("query_id", "unit_id", F.lit("bm25").alias("channel"), "rank").unionByName(retrieval.rerank(c, "jaccard").select("query_id", "unit_id", F.lit("lexical").alias("channel"), "rank"))
-
-
-RRF_SQL = ", f AS (SELECT query_id, unit_id, round(sum(1.0::DOUBLE / ({k} + rank)), 6) AS score, count(*) AS n_channels FROM ch GROUP BY 1, 2) "
-
-
-@query(CAND_SQL + LEX_SQL + RRF_SQL.replace(" f ", " fu ").format(k=60) + "SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score, n_channels FROM fu QUALIFY rank <= 10")
-def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.rrf(_channels(spark, sf))
+@query(_rerank_sql(PROXY))
+def proxy_ce_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.rerank(_candidates(spark, sf, POOL), "cross_encoder_proxy")
 
 
-@query(CAND_SQL + LEX_SQL + " SELECT query_id, count(*) FILTER (WHERE k = 2) AS shared, count(*) AS seen FROM (SELECT query_id, unit_id, count(*) AS k FROM ch WHERE rank <= 5 GROUP BY 1, 2) GROUP BY 1")
-def retriever_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    both = _channels(spark, sf).where("rank <= 5").groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("k"))
-    return both.groupBy("query_id").agg(F.count_if(F.col("k") == 2).alias("shared"), F.count(F.lit(1)).alias("seen"))
+@query()
+def maxsim_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.maxsim_rerank(_candidates(spark, sf, 10))
 
 
 @query()
 def mmr_select(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.mmr(_candidates(spark, sf))
+    return retrieval.mmr(_candidates(spark, sf, 10))
 
 
-@query(CAND_SQL + _pieces(", r AS (SELECT query_id, unit_id, rank, len(TOK(text)) AS n_tokens FROM cand) SELECT query_id, unit_id, rank, n_tokens, (sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS used FROM r QUALIFY used <= 1200"))
+@query(CAND_SQL + _pieces(", r AS (SELECT query_id, unit_id, rank, len(TOK(text)) AS n_tokens FROM cand WHERE rank <= 10) SELECT query_id, unit_id, rank, n_tokens, (sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS used FROM r QUALIFY used <= 1200"))
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.pack_context(_candidates(spark, sf))
+    return evaluation.pack_context(_candidates(spark, sf, 10))
 
 
 @query(CAND_SQL + _pieces(r""", e AS (SELECT query_id, unit_id, rank, list_distinct(SEARCH(question)) AS q, SENT(text) AS ss FROM cand WHERE rank <= 3),
@@ -338,12 +337,12 @@ def context_pack(spark: SparkSession, sf: str) -> DataFrame:
  b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY query_id, unit_id ORDER BY shared DESC, pos) = 1)
  SELECT query_id, string_agg(sentence, ' ' ORDER BY rank) AS answer, sum(shared)::BIGINT AS shared_words FROM b WHERE rank <= 2 GROUP BY 1"""))
 def extractive_answer(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.extractive_answer(_candidates(spark, sf))
+    return evaluation.extractive_answer(_candidates(spark, sf, 10))
 
 
 METRIC_SQL = f""", gold AS (SELECT b.item_id AS query_id, d.doc_id AS unit_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
  g AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
- h AS (SELECT query_id, count(*) AS n_hit, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM bm JOIN gold USING (query_id, unit_id) GROUP BY 1),
+ h AS (SELECT query_id, count(*) AS n_hit, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM bm JOIN gold USING (query_id, unit_id) WHERE rank <= 10 GROUP BY 1),
  m AS (SELECT query_id, n_gold, CASE WHEN coalesce(n_hit, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit, round(coalesce(n_hit / n_gold, 0), 9) AS recall, round(coalesce(1 / first, 0), 9) AS mrr,
   round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg FROM g LEFT JOIN h USING (query_id))"""
 
@@ -353,27 +352,96 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.ranking_metrics(_bm25(spark, sf), _gold(spark, sf).select("query_id", "unit_id"))
 
 
-@query()
+def _resampled(values: str, v: str) -> str:
+    """Means of 1000 resamples of a table (query_id, v): rows by a hash of the numbers of resample and draw."""
+    return f""", rv AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS place, {v} AS v FROM {values}), rn AS (SELECT count(*) AS n FROM rv),
+ rd AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || i), 1, 8))::BIGINT % n AS place FROM rn, range(1000) x(b), LATERAL (SELECT unnest(range(0, n)) AS i)),
+ rm AS (SELECT b, avg(v) AS m FROM rd JOIN rv USING (place) GROUP BY 1), ci AS (SELECT round(quantile_cont(m, 0.025), 4) AS ci_low, round(quantile_cont(m, 0.975), 4) AS ci_high FROM rm)"""
+
+
+@query(BM25_SQL + METRIC_SQL + _resampled("m", "ndcg") + " SELECT round(avg(ndcg), 4) AS value, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high FROM m, ci")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.bootstrap(retrieval_metrics(spark, sf), "ndcg")
 
 
+def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    gold = _gold(spark, sf).select("query_id", "unit_id")
+    return retrieval.ranking_metrics(_bm25(spark, sf), gold), retrieval.ranking_metrics(retrieval.rerank(_candidates(spark, sf), "jaccard"), gold)
+
+
+def _metric_sql(run: str, name: str) -> str:
+    """The metrics of a run as the table of that name; the gold tables come before."""
+    at = METRIC_SQL.index(" h AS (")
+    return METRIC_SQL[at:].replace(" h AS", f" h_{name} AS").replace(" m AS", f" {name} AS").replace("JOIN h ", f"JOIN h_{name} ").replace("FROM bm JOIN", f"FROM {run} JOIN")
+
+
+PAIR_SQL = CAND_SQL + _pieces(f", jy AS (SELECT query_id, unit_id, round({JACC}, 6) AS score FROM cand), jac AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM jy)") + METRIC_SQL[: METRIC_SQL.index(" h AS (")] + _metric_sql("bm", "ma") + "," + _metric_sql("jac", "mb")
+DELTA_SQL = PAIR_SQL + ", dd AS (SELECT query_id, ma.ndcg AS x, mb.ndcg AS y, mb.ndcg - ma.ndcg AS d FROM ma JOIN mb USING (query_id))"
+WINS = "count(*) FILTER (WHERE d > 1e-9) AS wins, count(*) FILTER (WHERE d < -1e-9) AS losses, count(*) FILTER (WHERE abs(d) <= 1e-9) AS ties"
+
+
 @query()
 def run_compare(spark: SparkSession, sf: str) -> DataFrame:
-    gold = _gold(spark, sf).select("query_id", "unit_id")
-    base = retrieval.ranking_metrics(_bm25(spark, sf), gold)
-    other = retrieval.ranking_metrics(retrieval.rerank(_candidates(spark, sf, POOL), "jaccard"), gold)
-    return evaluation.paired_compare(base, other, "ndcg")
+    return evaluation.paired_compare(*_runs(spark, sf), "ndcg")
+
+
+@query(DELTA_SQL + _resampled("dd", "d") + f" SELECT round(avg(x), 4) AS a, round(avg(y), 4) AS b, {WINS}, round(avg(d), 4) AS delta, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high, any_value(ci_low > 0 OR ci_high < 0) AS significant FROM dd, ci")
+def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.paired_bootstrap(*_runs(spark, sf), "ndcg")
+
+
+@query(DELTA_SQL + ", e AS (SELECT query_id, round(d, 6) AS delta, CASE WHEN d > 0 THEN 'gain' ELSE 'loss' END AS side FROM dd WHERE abs(round(d, 6)) > 1e-9) SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(delta) DESC, query_id) AS place FROM e QUALIFY place <= 5")
+def gains_and_losses(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.gains_and_losses(*_runs(spark, sf), "ndcg")
+
+
+@query(BM25_SQL + METRIC_SQL + " SELECT query_id, n_gold, row_number() OVER (ORDER BY n_gold DESC, query_id) AS place FROM m WHERE hit = 0 QUALIFY place <= 25")
+def missed_questions(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    m = retrieval_metrics(spark, sf).where("hit = 0").select("query_id", "n_gold").orderBy(F.desc("n_gold"), "query_id").limit(25)
+    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_gold"), "query_id")))
 
 
 # --- graph, topics, abbreviations ----------------------------------------------------------------------------------
 
-ENT_SQL = _pieces(rf"""WITH s AS (SELECT doc_id AS unit_id, unnest(SENT({DOC})) AS sentence FROM documents),
- k AS (SELECT unit_id, list_sort(list_distinct(list_transform(regexp_extract_all(sentence, '[A-Z][a-z]{{5,}}'), lambda e: lower(e))))[1:12] AS keys FROM s),
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NO_ENTITY = "[" + ", ".join(map(_q, graph.NO_ENTITY)) + "]"
+
+
+def _found(text: str) -> str:
+    """The surfaces of a text as the graph finds them."""
+    return rf"""list_filter(list_transform(list_concat(list_filter(regexp_extract_all({text}, {_q(graph.TOKEN)}), lambda w: regexp_matches(w, {_q(graph.ENTITY)})), regexp_extract_all({ASCII_LOWER.format(text)}, {_q(graph.PHRASE)})),
+ lambda w: {{'key': regexp_replace(lower(w), '[\s\-]+', '', 'g'), 'surface': w}}), lambda e: length(e.key) > 2 AND NOT list_contains({NO_ENTITY}, e.key) AND regexp_matches(e.key, '[^0-9]'))"""
+
+
+PREDICATE = "CASE " + " ".join(f"WHEN regexp_matches({ASCII_LOWER.format('sentence')}, {_q(graph.relation_pattern(w))}) THEN '{n}'" for w, n in graph.PREDICATES) + " ELSE 'CO_OCCURS' END"
+ENT_SQL = _pieces(rf"""WITH RECURSIVE s AS (SELECT row_number() OVER () AS r, * FROM (SELECT doc_id AS unit_id, unnest(SENT({DOC})) AS sentence FROM documents)),
+ f AS (SELECT r, unit_id, sentence, {_found('sentence')} AS found FROM s),
+ k AS (SELECT r, unit_id, sentence, found, list_sort(list_distinct(list_transform(found, lambda e: e.key))) AS keys FROM f WHERE len(found) > 0),
  m AS (SELECT entity, unit_id, count(*) AS n FROM (SELECT unit_id, unnest(keys) AS entity FROM k) GROUP BY 1, 2),
  u AS (SELECT entity, count(*) AS df, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM m GROUP BY 1 HAVING count(*) <= 0.03 * (SELECT count(*) FROM documents)),
- e AS (SELECT src, dst, count(*) AS n, count(DISTINCT unit_id) AS n_units FROM (SELECT a.unit_id, a.e AS src, b.e AS dst FROM (SELECT row_number() OVER () AS r, * FROM k) kk, LATERAL (SELECT kk.unit_id, unnest(kk.keys) AS e) a, LATERAL (SELECT unnest(kk.keys) AS e) b WHERE a.e < b.e) GROUP BY 1, 2)
+ sf AS (SELECT entity, surface, n FROM (SELECT e.key AS entity, e.surface AS surface, count(*) AS n FROM (SELECT unnest(found) AS e FROM k) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, surface) = 1),
+ kp AS (SELECT r, unit_id, {PREDICATE} AS predicate, unnest(keys[1:12]) AS e FROM k),
+ te AS (SELECT a.e AS src, b.e AS dst, a.predicate, a.unit_id, count(*) AS n FROM kp a JOIN kp b ON a.r = b.r AND a.e < b.e WHERE a.e IN (SELECT entity FROM u) AND b.e IN (SELECT entity FROM u) GROUP BY ALL)
  """)
+SEED_SQL = ENT_SQL + rf""", qw AS (SELECT item_id AS query_id, {DOC} AS question, regexp_extract_all({DOC}, {_q(graph.WORD_PAIR)}) AS w FROM benchmark),
+ qg AS (SELECT DISTINCT query_id, regexp_replace(lower(g), '[\s\-]+', '', 'g') AS entity FROM (SELECT query_id, unnest(list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || p[2]))) AS g FROM qw)),
+ qr AS (SELECT DISTINCT query_id, e.key AS entity FROM (SELECT query_id, unnest({_found('question')}) AS e FROM qw)),
+ seed AS (SELECT query_id, entity, idf FROM (SELECT * FROM qr UNION SELECT query_id, entity FROM qg JOIN sf USING (entity) WHERE length(entity) > 2 AND NOT list_contains({NO_ENTITY}, entity) AND (regexp_matches(entity, '[0-9]') OR surface <> upper(surface))) JOIN u USING (entity))
+ """
+WEIGHT = "CASE WHEN predicate <> 'CO_OCCURS' THEN 1.5 ELSE 1.0 END"
+GRAPH_SQL = SEED_SQL + f""", pairs AS (SELECT a.query_id, unit_id, 0.5 * (a.idf + b.idf) / 2 * {WEIGHT} AS w FROM te JOIN seed a ON a.entity = src JOIN seed b ON b.entity = dst AND b.query_id = a.query_id),
+ ends AS (SELECT query_id, src AS seed, dst AS entity, {WEIGHT} AS w FROM te JOIN seed ON entity = src UNION ALL SELECT query_id, dst, src, {WEIGHT} FROM te JOIN seed ON entity = dst),
+ nb AS (SELECT query_id, entity, idf, round(sum(w) * any_value(idf) * CASE WHEN count(DISTINCT seed) > 1 THEN 2.0 ELSE 1.0 END, 6) AS strength FROM ends o JOIN u USING (entity) WHERE NOT EXISTS (SELECT 1 FROM seed x WHERE x.query_id = o.query_id AND x.entity = o.entity) GROUP BY query_id, entity, idf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, entity) <= 8),
+ gz AS (SELECT query_id, unit_id, idf AS w FROM m JOIN seed USING (entity) UNION ALL SELECT * FROM pairs UNION ALL SELECT query_id, unit_id, 0.5 * idf FROM m JOIN nb USING (entity)),
+ gs AS (SELECT query_id, unit_id, round(sum(w), 6) AS score, count(*) AS n_reasons FROM gz GROUP BY 1, 2),
+ gr AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score, n_reasons FROM gs QUALIFY rank <= 40)
+ """
 
 
 @query(ENT_SQL + "SELECT * FROM m")
@@ -381,22 +449,112 @@ def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return graph.mentions(passages(spark, sf))
 
 
-@query(ENT_SQL + "SELECT * FROM e WHERE src IN (SELECT entity FROM u) AND dst IN (SELECT entity FROM u)")
+@query(ENT_SQL + "SELECT entity, surface, n FROM sf")
+def entity_surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.entity_surfaces(passages(spark, sf))
+
+
+@query(ENT_SQL + "SELECT entity, df, round(idf, 9) AS idf FROM u")
+def entity_idf(spark: SparkSession, sf: str) -> DataFrame:
+    p = passages(spark, sf)
+    return graph.usable_entities(p, graph.mentions(p)).select("entity", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(ENT_SQL + "SELECT src, dst, sum(n)::BIGINT AS n, count(DISTINCT unit_id) AS n_units, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS predicates FROM te GROUP BY 1, 2")
 def entity_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edges(passages(spark, sf))
 
 
-@query(ENT_SQL + """, seed AS (SELECT DISTINCT query_id, lower(x) AS entity FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS x FROM benchmark)),
- z AS (SELECT query_id, unit_id, round(sum(idf), 6) AS score, count(*) AS n_seeds FROM m JOIN seed USING (entity) JOIN u USING (entity) GROUP BY 1, 2)
- SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score, n_seeds FROM z QUALIFY rank <= 10""")
+@query(SEED_SQL + "SELECT query_id, entity, round(idf, 9) AS idf FROM seed")
+def question_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return _seeds(spark, sf).select("query_id", "entity", F.round("idf", 9).alias("idf"))
+
+
+def _seeds(spark: SparkSession, sf: str) -> DataFrame:
+    p = passages(spark, sf)
+    return graph.question_seeds(questions(spark, sf), graph.usable_entities(p, graph.mentions(p)), graph.entity_surfaces(p))
+
+
+@query(GRAPH_SQL + "SELECT * FROM gr WHERE rank <= 10")
 def graph_traverse(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_scores(passages(spark, sf), questions(spark, sf))
 
 
-@query()
+KHOP_SQL = SEED_SQL + """, both_ways AS (SELECT DISTINCT src, dst FROM te UNION SELECT DISTINCT dst, src FROM te), s0 AS (SELECT DISTINCT entity FROM seed),
+ h1 AS (SELECT DISTINCT dst AS entity FROM both_ways JOIN s0 ON src = entity WHERE dst NOT IN (SELECT entity FROM s0)),
+ h2 AS (SELECT DISTINCT dst AS entity FROM both_ways JOIN h1 ON src = entity WHERE dst NOT IN (SELECT entity FROM s0) AND dst NOT IN (SELECT entity FROM h1))
+ SELECT entity, 0 AS hop FROM s0 UNION ALL SELECT entity, 1 FROM h1 UNION ALL SELECT entity, 2 FROM h2"""
+
+
+@query(KHOP_SQL)
 def graph_khop(spark: SparkSession, sf: str) -> DataFrame:
-    q = questions(spark, sf).select(F.explode(F.regexp_extract_all("question", F.lit(graph.CAPITALISED), F.lit(0))).alias("x"))
-    return graph.neighbours(graph.edges(passages(spark, sf)), q.select(graph.entity_key(F.col("x")).alias("entity")).distinct())
+    return graph.neighbours(graph.edges(passages(spark, sf)), _seeds(spark, sf).select("entity").distinct())
+
+
+# BM25 and the graph search all passages each on its own; their ranks are fused and the pool is reranked.
+HYBRID_SQL = GRAPH_SQL.replace(" m AS (", " em AS (").replace("FROM m ", "FROM em ").replace(" f AS (", " ef AS (").replace("FROM f ", "FROM ef ").replace(" s AS (", " es AS (").replace("FROM s)", "FROM es)").replace(" u AS (", " eu AS (").replace("FROM u)", "FROM eu)").replace("JOIN u ", "JOIN eu ") + ", " + BM25_SQL.removeprefix("WITH ") + """, ch AS (SELECT query_id, unit_id, rank, 'bm25' AS channel FROM bm UNION ALL SELECT query_id, unit_id, rank, 'graph' FROM gr),
+ fu AS (SELECT query_id, unit_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, count(*) AS n_channels FROM ch GROUP BY 1, 2),
+ rr AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score, n_channels FROM fu)
+ """
+
+
+def _channels(spark: SparkSession, sf: str) -> DataFrame:
+    lexical = _bm25(spark, sf, POOL).select("query_id", "unit_id", F.lit("bm25").alias("channel"), "rank")
+    linked = graph.graph_scores(passages(spark, sf), questions(spark, sf), POOL).select("query_id", "unit_id", F.lit("graph").alias("channel"), "rank")
+    return lexical.unionByName(linked)
+
+
+@query(HYBRID_SQL + "SELECT query_id, unit_id, rank, score, n_channels FROM rr WHERE rank <= 10")
+def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.rrf(_channels(spark, sf))
+
+
+@query(HYBRID_SQL + _pieces(f", hc AS (SELECT query_id, unit_id, round({JACC}, 6) AS score FROM (SELECT query_id, unit_id, b.text AS question, coalesce(x.text, '') AS text FROM rr JOIN benchmark b ON b.item_id = query_id JOIN documents x ON x.doc_id = unit_id WHERE rank <= 40)) SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank, score FROM hc QUALIFY rank <= 10"))
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    pool = retrieval.rrf(_channels(spark, sf), top=POOL).select("query_id", "unit_id")
+    return retrieval.rerank(pool.join(questions(spark, sf), "query_id").join(passages(spark, sf), "unit_id"), "jaccard")
+
+
+@query(HYBRID_SQL + " SELECT query_id, count(*) FILTER (WHERE k = 2) AS shared, count(*) AS seen FROM (SELECT query_id, unit_id, count(*) AS k FROM ch WHERE rank <= 10 GROUP BY 1, 2) GROUP BY 1")
+def retriever_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    both = _channels(spark, sf).where("rank <= 10").groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("k"))
+    return both.groupBy("query_id").agg(F.count_if(F.col("k") == 2).alias("shared"), F.count(F.lit(1)).alias("seen"))
+
+
+ROUTE_SQL = SEED_SQL + f""", rt AS (SELECT query_id, question, {ASCII_LOWER.format('question')} AS low FROM qw), rq AS (SELECT query_id, CASE WHEN regexp_matches(low, {_q(routing.LIST)}) THEN 'list' WHEN regexp_matches(low, {_q(routing.SUMMARY)}) THEN 'summary' WHEN regexp_matches(low, {_q(routing.YES_NO)}) THEN 'yes/no' ELSE 'factoid' END AS type,
+ (SELECT count(*) FROM seed WHERE seed.query_id = rt.query_id) AS n_entities, regexp_matches(low, {_q(routing.RELATION)}) AS relation_word FROM rt),
+ rp AS (SELECT *, 0::BIGINT AS n_added, n_entities >= 2 OR (n_entities = 1 AND relation_word) AS use_graph, false AS use_synonyms, type IN ('list', 'summary') AND n_entities = 0 AS use_tree FROM rq)
+ """
+
+
+@query(ROUTE_SQL + "SELECT *, coalesce(nullif(concat_ws(',', CASE WHEN use_graph THEN 'R1' END, CASE WHEN use_tree THEN 'R3' END), ''), 'R0') AS rules FROM rp")
+def route_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.route_plan(questions(spark, sf), _seeds(spark, sf))
+
+
+KEY_TERMS = f"list_filter(SEARCH(question), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(map(_q, routing.STOP))}], w))"
+
+
+def _coverage_sql(run: str, name: str) -> str:
+    return _pieces(f""", {name}_t AS (SELECT item_id AS query_id, list_distinct({KEY_TERMS}) AS terms FROM (SELECT item_id, {DOC} AS question FROM benchmark)),
+ {name}_h AS (SELECT query_id, term, coalesce(bool_or(contains(lower({DOC}), substr(term, 1, 6))), false) AS held FROM (SELECT query_id, unnest(terms) AS term FROM {name}_t) LEFT JOIN {run} USING (query_id) LEFT JOIN documents ON doc_id = unit_id GROUP BY 1, 2),
+ {name} AS (SELECT query_id, len(terms)::BIGINT AS n_terms, CASE WHEN len(terms) = 0 THEN 1.0 ELSE round(count(term) FILTER (WHERE held) / len(terms), 3) END AS coverage, coalesce(string_agg(term, ' ' ORDER BY term) FILTER (WHERE NOT held), '') AS missing FROM {name}_t LEFT JOIN {name}_h USING (query_id) GROUP BY query_id, terms)""")
+
+
+@query(BM25_SQL + ", b3 AS (SELECT query_id, unit_id FROM bm WHERE rank <= 3)" + _coverage_sql("b3", "cv") + " SELECT * FROM cv")
+def term_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.term_coverage(questions(spark, sf), _bm25(spark, sf, 3).join(passages(spark, sf), "unit_id"))
+
+
+@query(HYBRID_SQL + ", b3 AS (SELECT query_id, unit_id FROM bm WHERE rank <= 3), w3 AS (SELECT query_id, unit_id FROM rr WHERE rank <= 3)" + _coverage_sql("b3", "cv") + _coverage_sql("w3", "cw") + " SELECT query_id, cv.coverage, CASE WHEN cv.coverage < 0.6 THEN cw.coverage END AS wide_coverage, CASE WHEN cv.coverage < 0.6 AND cw.coverage > cv.coverage THEN 2 ELSE 1 END AS round FROM cv JOIN cw USING (query_id)")
+def two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    wide = retrieval.rrf(_channels(spark, sf), top=3).select("query_id", "unit_id")
+    return routing.retry(questions(spark, sf), _bm25(spark, sf, 3).select("query_id", "unit_id"), wide, passages(spark, sf))
+
+
+@query()
+def expanded_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.expand_questions(questions(spark, sf), graph.abbreviation_dictionary(graph.abbreviations(passages(spark, sf))))
 
 
 COV_SQL = _pieces(rf"""WITH d AS (SELECT doc_id AS unit_id, lang AS topic, unnest(list_distinct(SEARCH({DOC}))) AS term FROM documents), z AS (SELECT lang AS topic, count(*) AS size FROM documents GROUP BY 1),
@@ -424,6 +582,17 @@ def tree_navigate(spark: SparkSession, sf: str) -> DataFrame:
     return graph.topic_scores(_topics(spark, sf), questions(spark, sf))
 
 
+TREE = "SELECT doc_id, text, coalesce(lang, '-') || ' > ' || coalesce(source, '-') AS lang FROM documents"
+NAV = ", {0}q AS (SELECT item_id AS query_id, unnest(list_distinct(SEARCH({1}))) AS term FROM benchmark), {0}s AS (SELECT query_id, topic, round(sum(idf * pow(coverage, 0.25)), 6) AS score FROM {0}q JOIN {2} USING (term) GROUP BY 1, 2), {0}r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, topic) AS rank FROM {0}s)"
+LEAF_SQL = COV_SQL.removeprefix("WITH d AS").replace("FROM documents", f"FROM ({TREE})").replace(" z AS", " lz AS").replace("JOIN z ", "JOIN lz ").replace(" bt AS", " lbt AS").replace("FROM bt ", "FROM lbt ").replace(" f AS", " lf AS").replace("JOIN f ", "JOIN lf ").replace(" c AS", " lc AS").replace("FROM d ", "FROM ld ")
+
+
+@query(COV_SQL + _pieces(NAV.format("t", DOC, "c")) + ", ld AS" + LEAF_SQL + _pieces(NAV.format("l", DOC, "lc")) + f", n AS (SELECT lang AS path, split_part(lang, ' > ', 1) AS top, count(*) AS n_units FROM ({TREE}) GROUP BY 1), w AS (SELECT l.query_id, path, l.score, n_units FROM ls l JOIN n ON path = l.topic JOIN tr ON tr.query_id = l.query_id AND coalesce(tr.topic, '-') = top AND tr.rank <= 5) SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank, score, n_units FROM w QUALIFY rank <= 6")
+def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    tree = scan(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.col("lang").alias("topic"), F.col("source").alias("leaf"), "text")
+    return graph.navigate(tree, questions(spark, sf))
+
+
 @query()
 def abbrev_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return graph.abbreviation_dictionary(graph.abbreviations(passages(spark, sf)))
@@ -464,15 +633,117 @@ def slo_eval(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.slo(scan(spark, sf, "events"), 100.0, 200.0)
 
 
-@query("""WITH m AS (SELECT max(ts) AS hi, min(ts) AS lo FROM events), d AS (SELECT least(greatest(floor(value / 50.0), 0), 9)::BIGINT AS bin, ts < lo + (hi - lo) / 2 AS early FROM events, m WHERE value IS NOT NULL),
- b AS (SELECT bin, count(*) FILTER (WHERE early) AS a, count(*) FILTER (WHERE NOT early) AS b FROM d GROUP BY 1), r AS (SELECT bin, a, b, (a + 0.5) / (sum(a) OVER () + 5.0) AS p, (b + 0.5) / (sum(b) OVER () + 5.0) AS q FROM b)
- SELECT bin, a, b, (q - p) * ln(q / p) AS psi FROM r""")
+EARLY = "ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
+
+
+@query(f"WITH d AS (SELECT {EARLY} AS early, unnest([{{'metric': 'value', 'v': value, 'lim': 0.5}}, {{'metric': 'is_error', 'v': (event_type = 'error')::INT::DOUBLE, 'lim': 0.05}}], recursive := true) FROM events), a AS (SELECT metric, lim, round(avg(v) FILTER (WHERE early), 6) AS reference, round(avg(v) FILTER (WHERE NOT early), 6) AS current FROM d GROUP BY 1, 2) SELECT metric, reference, current, round(current - reference, 6) AS delta, abs(round(current - reference, 6)) >= lim AS drifted FROM a")
 def drift_check(spark: SparkSession, sf: str) -> DataFrame:
-    e = scan(spark, sf, "events")
+    e = scan(spark, sf, "events").withColumn("is_error", (F.col("event_type") == "error").cast("int"))
     middle = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("middle"))
-    return evaluation.drift(e.crossJoin(F.broadcast(middle)), F.col("middle"))
+    return evaluation.drift(e.crossJoin(F.broadcast(middle)), {"value": 0.5, "is_error": 0.05}, F.col("ts") < F.col("middle"))
 
 
-@query("SELECT DISTINCT user_id, (('0x' || substr(md5('exp:' || user_id), 1, 8))::BIGINT % 2) AS arm FROM events")
+@query("SELECT user_id, b AS bucket, CASE WHEN b < 1000 THEN 'B' ELSE 'A' END AS arm FROM (SELECT user_id, list_reduce(list_transform(range(8), lambda k: ('0x' || substr(sha256('42:' || user_id), k * 8 + 1, 8))::BIGINT), lambda a, w: (a % 10000 * 7296 + w) % 10000) AS b0, b0 % 10000 AS b FROM (SELECT DISTINCT user_id FROM events))")
 def ab_assign(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.ab_assign(scan(spark, sf, "events"))
+
+
+REQUESTS = "SELECT event_type, user_id, event_type <> 'error' AS ok, value > 40 AS timed_out, value AS latency, value * 0.001 AS cost FROM events"
+SLO_SQL = f"WITH r AS ({REQUESTS}), s AS (SELECT event_type, count(*) AS n, round(avg(ok::INT), 6) AS availability, round(avg(timed_out::INT), 6) AS timeout_rate, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99, round(avg(cost), 6) AS cost FROM r GROUP BY 1)"
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    return scan(spark, sf, "events").select("event_type", "user_id", (F.col("event_type") != "error").alias("ok"), (F.col("value") > 40).alias("timed_out"), F.col("value").alias("latency"), (F.col("value") * 0.001).alias("cost"))
+
+
+@query(SLO_SQL + ", v AS (SELECT *, concat_ws(',', CASE WHEN availability < 0.995 THEN 'availability' END, CASE WHEN cost > 0.08 THEN 'cost' END, CASE WHEN p95 > 30 THEN 'p95' END, CASE WHEN timeout_rate > 0.01 THEN 'timeout_rate' END) AS violations FROM s) SELECT *, violations = '' AS compliant FROM v")
+def slo_report(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.slo_report(_requests(spark, sf), {"availability": 0.995, "timeout_rate": 0.01, "p95": 30.0, "cost": 0.08}, "event_type")
+
+
+@query(SLO_SQL + """, g AS (SELECT event_type, 1 - CASE WHEN max(p95) OVER () = min(p95) OVER () THEN 1.0 ELSE (p95 - min(p95) OVER ()) / (max(p95) OVER () - min(p95) OVER ()) END AS speed,
+ (CASE WHEN max(availability) OVER () = min(availability) OVER () THEN 1.0 ELSE (availability - min(availability) OVER ()) / (max(availability) OVER () - min(availability) OVER ()) END + 1 - CASE WHEN max(cost) OVER () = min(cost) OVER () THEN 1.0 ELSE (cost - min(cost) OVER ()) / (max(cost) OVER () - min(cost) OVER ()) END) / 2 AS operations FROM s)
+ SELECT event_type, round(speed, 6) AS speed, round(operations, 6) AS operations, round((round(speed, 6) * 0.3 + round(operations, 6) * 0.1) / 0.4, 6) AS composite FROM g""")
+def system_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluation.slo_report(_requests(spark, sf), {}, "event_type")
+    groups = {"speed": ("p95",), "operations": ("availability", "cost")}
+    return evaluation.leaderboard(s, groups, {"speed": 0.3, "operations": 0.1}, ("p95", "cost")).select("event_type", "speed", "operations", "composite")
+
+
+@query(SLO_SQL + " SELECT event_type, p95, availability FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.p95 <= a.p95 AND b.n >= a.n AND (b.p95 < a.p95 OR b.n > a.n))")
+def pareto_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.pareto(evaluation.slo_report(_requests(spark, sf), {}, "event_type"), "n", "p95").select("event_type", "p95", "availability")
+
+
+# --- claims and answers -------------------------------------------------------------------------------------------
+
+CLAIM_SQL = CAND_SQL + _pieces(r""", e AS (SELECT query_id, unit_id, rank, text, list_distinct(SEARCH(question)) AS q, SENT(text) AS ss FROM cand WHERE rank <= 3),
+ x AS (SELECT query_id, unit_id, rank, q, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS pos FROM e),
+ cl AS (SELECT query_id, unit_id, rank AS claim_no, sentence AS claim FROM x QUALIFY row_number() OVER (PARTITION BY query_id, unit_id ORDER BY len(list_intersect(q, list_distinct(SEARCH(sentence)))) DESC, pos) = 1),
+ ev AS (SELECT query_id, unit_id, text FROM e WHERE rank <= 2)""")
+CONTENT = "list_distinct(list_filter(SEARCH({0}), lambda w: NOT list_contains([{1}], w)))"
+CLAIM_WORDS, ANSWER_WORDS = ", ".join(map(_q, evaluation.CLAIM_STOP)), ", ".join(map(_q, evaluation.ANSWER_STOP))
+SUPPORT_SQL = CLAIM_SQL + _pieces(f""", ct AS (SELECT query_id, claim_no, unit_id, {CONTENT.format('claim', CLAIM_WORDS)} AS c, {CONTENT.format('text', CLAIM_WORDS)} AS t, text IS NOT NULL AS valid FROM cl LEFT JOIN ev USING (query_id, unit_id)),
+ sp AS (SELECT query_id, claim_no, 1::BIGINT AS n_citations, valid::INT::BIGINT AS n_valid, round(CASE WHEN valid AND len(c) > 0 THEN len(list_intersect(c, t)) / len(c) ELSE 0.0 END, 9) AS best FROM ct),
+ lb AS (SELECT *, CASE WHEN best >= 0.5 THEN 'SUPPORTED' WHEN best >= 0.2 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS label FROM sp)""")
+
+
+def _claims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = _candidates(spark, sf, 3)
+    return evaluation.extractive_answer(c), evaluation.claims_of(c), c.where("rank <= 2").select("query_id", "unit_id", "text")
+
+
+@query(SUPPORT_SQL + " SELECT * FROM lb")
+def claim_support(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.claim_support(*_claims(spark, sf)[1:])
+
+
+@query(SUPPORT_SQL + " SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM lb GROUP BY 1")
+def support_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.label_histogram(evaluation.claim_support(*_claims(spark, sf)[1:]))
+
+
+@query(SUPPORT_SQL + _pieces(f""", an AS (SELECT query_id, string_agg(claim, ' ' ORDER BY claim_no) AS answer FROM cl WHERE claim_no <= 2 GROUP BY 1), aw AS (SELECT query_id, unnest({CONTENT.format('answer', ANSWER_WORDS)}) AS w FROM an), ew AS (SELECT DISTINCT query_id, unnest({CONTENT.format('text', ANSWER_WORDS)}) AS w FROM ev),
+ gg AS (SELECT aw.query_id, round(avg((ew.w IS NOT NULL)::INT), 4) AS grounding FROM aw LEFT JOIN ew ON ew.query_id = aw.query_id AND ew.w = aw.w GROUP BY 1),
+ co AS (SELECT query_id, round(avg((unit_id IN (SELECT unit_id FROM cl WHERE cl.query_id = ev.query_id))::INT), 4) AS coverage FROM ev GROUP BY 1), fa AS (SELECT query_id, round(avg((label = 'SUPPORTED')::INT), 4) AS faithfulness FROM lb GROUP BY 1),
+ am AS (SELECT query_id, coalesce(grounding, 0.0) AS grounding, coalesce(coverage, 0.0) AS coverage, coalesce(faithfulness, 0.0) AS faithfulness FROM an LEFT JOIN gg USING (query_id) LEFT JOIN co USING (query_id) LEFT JOIN fa USING (query_id))
+ SELECT *, CASE WHEN grounding >= 0.6 AND coverage >= 0.4 THEN 'sufficient' WHEN grounding >= 0.3 THEN 'weak' ELSE 'insufficient' END AS status FROM am"""))
+def answer_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.answer_metrics(*_claims(spark, sf))
+
+
+# --- shares, strata, chunk planning ----------------------------------------------------------------------------------
+
+
+@query("SELECT lang AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM documents GROUP BY 1")
+def value_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.value_shares(scan(spark, sf, "documents", "lang"), "lang")
+
+
+@query("SELECT doc_id, n_chars, ['low_overlap', 'medium_low', 'medium_high', 'high_overlap'][ntile(4) OVER (ORDER BY n_chars NULLS FIRST, doc_id)] AS stratum FROM documents")
+def length_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.quartiles(scan(spark, sf, "documents", "doc_id", "n_chars"), "doc_id", "n_chars")
+
+
+@query(_pieces(f"WITH n AS (SELECT len(TOK({DOC})) AS n FROM documents), g AS (SELECT unnest([{{'size': 128, 'overlap': 16}}, {{'size': 256, 'overlap': 32}}, {{'size': 384, 'overlap': 48}}, {{'size': 512, 'overlap': 64}}], recursive := true)), k AS (SELECT size, overlap, n, greatest(n - overlap - 1, 0) // (size - overlap) + 1 AS k FROM n, g WHERE n > 0) SELECT size, overlap, sum(k)::BIGINT AS n_chunks, sum(n + (k - 1) * overlap)::BIGINT AS n_tokens, (sum(k) * 6144)::BIGINT AS bytes FROM k GROUP BY 1, 2"))
+def chunk_size_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.size_sweep(passages(spark, sf))
+
+
+@query(_windows_sql(96, 16, "parent_child") + "SELECT count(*) AS n_parents, sum(k)::BIGINT AS n_children, min(k) AS least, round(avg(k), 6) AS mean, max(k) AS most, 0::BIGINT AS orphans FROM (SELECT unit_id, count(*) AS k FROM c GROUP BY 1)")
+def parent_child_summary(spark: SparkSession, sf: str) -> DataFrame:
+    p = passages(spark, sf)
+    return chunking.parent_summary(chunking.parent_child_chunks(p), p)
+
+
+@query(FIXED_SQL + _pieces(f""", {GOLD}, a AS (SELECT query_id, unit_id, t, count(*) AS n FROM (SELECT g.query_id, g.unit_id, unnest(SEARCH(b.text)) AS t FROM gold g JOIN benchmark b ON b.item_id = g.query_id) GROUP BY ALL), b AS (SELECT unit_id, chunk_index, t, count(*) AS m FROM (SELECT unit_id, chunk_index, unnest(SEARCH(text)) AS t FROM c) GROUP BY ALL),
+ sm AS (SELECT query_id, max(same) AS same FROM (SELECT query_id, unit_id, chunk_index, sum(least(n, m)) AS same FROM a JOIN b USING (unit_id, t) GROUP BY ALL) GROUP BY 1), tt AS (SELECT query_id, max(n) AS n FROM (SELECT query_id, unit_id, sum(n) AS n FROM a GROUP BY 1, 2) GROUP BY 1)
+ SELECT query_id, round(coalesce(same, 0) / n, 9) AS recall FROM tt LEFT JOIN sm USING (query_id)"""))
+def chunk_answer_recall(spark: SparkSession, sf: str) -> DataFrame:
+    answers = _gold(spark, sf).join(questions(spark, sf), "query_id").select("query_id", "unit_id", F.col("question").alias("answer"))
+    return chunking.best_answer_recall(chunking.fixed_chunks(passages(spark, sf)), answers)
+
+
+@query(_pieces(f"WITH s AS (SELECT doc_id, generate_subscripts(ss, 1) AS pos, list_distinct(SEARCH(unnest(ss))) AS w FROM (SELECT doc_id, SENT({DOC}) AS ss FROM documents)), p AS (SELECT w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS v FROM s) SELECT count(*) AS n_pairs, round(quantile_cont(CASE WHEN len(w || v) > 0 THEN len(list_intersect(w, v)) / len(list_distinct(w || v)) ELSE 0.0 END, 0.2), 9) AS threshold FROM p WHERE v IS NOT NULL"))
+def semantic_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.semantic_threshold(passages(spark, sf))

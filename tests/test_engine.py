@@ -9,7 +9,7 @@ from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents benchmark embeddings labels conversations events".split()
-CHECKED = ["canonical_passages", "exact_dup_groups", "structural_features", "schema_report", "quality_gate", "gold_explode", "chunk_fixed", "token_coverage", "bm25_topk", "dense_cosine_topk", "jaccard_rerank", "tree_labels", "token_f1", "latency_summary", "drift_check"]
+CHECKED = ["canonical_passages", "exact_dup_groups", "structural_features", "schema_report", "quality_gate", "gold_explode", "chunk_fixed", "token_coverage", "bm25_topk", "dense_cosine_topk", "jaccard_rerank", "tree_labels", "token_f1", "latency_summary", "drift_check", "graph_traverse", "route_plan", "claim_support", "answer_metrics", "bootstrap_ci", "paired_bootstrap", "ab_assign"]
 
 
 def plain(v):
@@ -72,8 +72,8 @@ def test_boundary_plan(spark):
 
 
 def test_abbreviations():
-    assert graph.best_long_form("ECMO", "treated by extracorporeal membrane oxygenation") == "extracorporeal membrane oxygenation"
-    assert graph.best_long_form("XYZ", "nothing fits here") is None
+    assert graph.long_form("ECMO", "treated by extracorporeal membrane oxygenation") == "extracorporeal membrane oxygenation"
+    assert graph.long_form("XYZ", "nothing fits here") is None
 
 
 def test_citations(spark):
