@@ -15,9 +15,15 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores is dealt out, so that a single file does not run in one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit_id and text of documents, null text as empty."""
-    return scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
