@@ -273,3 +273,43 @@ def spearman(scores: DataFrame) -> DataFrame:
     w = Window.partitionBy("group_id")
     r = scores.withColumn("rx", F.row_number().over(w.orderBy("x", "item"))).withColumn("ry", F.row_number().over(w.orderBy("y", "item")))
     return r.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).where("n >= 3")
+
+
+def exact_match(pairs: DataFrame) -> DataFrame:
+    """(pair_id, em, precision, recall, f1) of (pair_id, answer, reference): equal token lists, and overlap of token sets."""
+    words = lambda c: F.filter(T.search_tokens(F.col(c)), lambda w: ~w.isin("a", "an", "the"))
+    p = pairs.select("pair_id", words("answer").alias("a"), words("reference").alias("r"))
+    a, r = F.array_distinct("a"), F.array_distinct("r")
+    same = F.size(F.array_intersect("a", "r"))
+    precision, recall = F.when(F.size(a) > 0, same / F.size(a)).otherwise(0.0), F.when(F.size(r) > 0, same / F.size(r)).otherwise(0.0)
+    f1 = F.when(same > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return p.select("pair_id", (F.col("a") == F.col("r")).cast("double").alias("em"), F.round(precision, 9).alias("precision"), F.round(recall, 9).alias("recall"), F.round(f1, 9).alias("f1"))
+
+
+def rank_metrics_at(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(k, recall, hit, n): means over the questions with gold at several depths."""
+    n = gold.groupBy("query_id").agg(F.countDistinct("unit_id").alias("n_gold")).withColumn("k", F.explode(F.array(*map(F.lit, cuts))))
+    hits = ranked.join(gold.distinct(), ["query_id", "unit_id"]).select("query_id", "rank")
+    h = n.join(hits, "query_id", "left").groupBy("query_id", "k", "n_gold").agg(F.count_if(F.col("rank") <= F.col("k")).alias("found"))
+    return h.groupBy("k").agg(F.round(F.avg(F.col("found") / F.col("n_gold")), 4).alias("recall"), F.round(F.avg((F.col("found") > 0).cast("int")), 4).alias("hit"), F.count(F.lit(1)).alias("n"))
+
+
+def evidence_metrics(selected: DataFrame, gold: DataFrame, budget: int) -> DataFrame:
+    """(query_id, precision, recall, waste): selected (query_id, unit_id, n_tokens) against gold; waste is the share of
+    the budget that other passages take."""
+    s = selected.join(gold.select("query_id", "unit_id", F.lit(1).alias("g")), ["query_id", "unit_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("g").alias("hit"), F.sum(F.when(F.col("g").isNull(), F.col("n_tokens")).otherwise(0)).alias("off"))
+    n = gold.groupBy("query_id").agg(F.countDistinct("unit_id").alias("n_gold"))
+    return s.join(n, "query_id").select("query_id", F.round(F.col("hit") / F.col("n"), 9).alias("precision"), F.round(F.col("hit") / F.col("n_gold"), 9).alias("recall"), F.round(F.col("off") / budget, 9).alias("waste"))
+
+
+def sufficiency(scores: DataFrame) -> DataFrame:
+    """Adds score and label: coverage, support and agreement weighed .55, .30, .15."""
+    s = F.round(0.55 * F.col("coverage") + 0.30 * F.col("support") + 0.15 * F.col("agreement"), 6)
+    return scores.withColumn("score", s).withColumn("label", F.when(s >= 0.75, "SUFFICIENT").when(s >= 0.5, "WEAK").otherwise("INSUFFICIENT"))
+
+
+def request_cost(requests: DataFrame, prices: dict[str, float]) -> DataFrame:
+    """Adds cost: units of each stage by its price, generation and validation twice where an answer was repaired."""
+    repaired = F.when(F.col("repair"), 2).otherwise(1)
+    parts = [F.col(k) * F.lit(v) * (repaired if k in ("gen_in", "gen_out", "validate") else 1) for k, v in sorted(prices.items())]
+    return requests.withColumn("cost", F.round(sum(parts[1:], parts[0]), 9))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -92,3 +92,47 @@ def frequency_concentration(gold: DataFrame, share: float = 0.1) -> DataFrame:
     ranked = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "unit_id")))
     top = ranked.crossJoin(F.broadcast(total)).where(F.col("place") <= F.ceil(F.col("units") * share))
     return top.agg(F.sum("n").alias("top_links"), F.max("links").alias("links"), F.max("units").alias("units"))
+
+
+def duplicate_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(group_no, n, ids) of texts that occur more than once, numbered in the order of their first ids."""
+    g = docs.groupBy(F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), ",").alias("ids")).where("n > 1")
+    return g.withColumn("group_no", F.row_number().over(Window.orderBy("first")).cast("long")).select("group_no", "n", "ids")
+
+
+# Marks of specialist prose.
+ACRONYM, HYPHENATED, DIGITS, GREEK = r"[A-Z][A-Z0-9]+", r"[A-Za-z0-9_]+-[A-Za-z0-9_]+", r"[0-9]", "αβγδεζηθικλμνξοπρσςτυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+
+
+def signal_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts and densities of acronyms, hyphenated terms, tokens with digits and Greek letters, by white-space tokens
+    without marks at their ends."""
+    t = F.coalesce(text_col, F.lit(""))
+    d = docs.select(id_col, t.alias("t"), F.transform(T.tokens(t), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$", "")).alias("w"))
+    n = F.greatest(F.size("w"), F.lit(1))
+    count = lambda pattern: F.size(F.filter("w", lambda x: x.rlike(pattern))).cast("long")
+    d = d.select(id_col, n.alias("n"), count(f"^{ACRONYM}$").alias("acronyms"), count(f"^{HYPHENATED}").alias("hyphenated"), count(DIGITS).alias("digit_tokens"), (F.char_length("t") - F.char_length(F.translate("t", GREEK, ""))).cast("long").alias("greek"))
+    return d.select(id_col, "acronyms", "hyphenated", "digit_tokens", "greek", *[F.round(F.col(c) / F.col("n"), 9).alias(f"{c}_density") for c in ("acronyms", "hyphenated", "digit_tokens")])
+
+
+def corpus_profile(features: DataFrame) -> DataFrame:
+    """(metric, value): means over the corpus and the shares of rows with a mark."""
+    one = features.agg(F.count(F.lit(1)).cast("double").alias("rows"), *[F.avg(f"{c}_density").alias(f"mean_{c}_density") for c in ("acronyms", "hyphenated", "digit_tokens")], (100 * F.avg((F.col("acronyms") > 0).cast("int"))).alias("any_acronym_pct"), (100 * F.avg((F.col("greek") > 0).cast("int"))).alias("any_greek_pct"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c), 6).alias("value")) for c in one.columns])).alias("x")).select("x.*")
+
+
+def all_known(gold: DataFrame, known: DataFrame) -> DataFrame:
+    """(query_id, n_gold, n_known, usable): a question is usable if all its gold units are known."""
+    k = gold.join(known.select("unit_id", F.lit(1).alias("k")), "unit_id", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("k").alias("n_known"))
+    return k.withColumn("usable", F.col("n_gold") == F.col("n_known"))
+
+
+def evidence_complexity(gold_counts: DataFrame) -> DataFrame:
+    """Names how many passages a question's evidence takes: (query_id, n_gold)."""
+    n = F.col("n_gold")
+    return gold_counts.select("query_id", "n_gold", F.when(n <= 1, "single-passage").when(n == 2, "two-passage").when(n <= 5, "multi-passage-3-to-5").otherwise("multi-passage-6-plus").alias("complexity"))
+
+
+def parse_ids(text: Column) -> Column:
+    """Distinct numbers of a list as text ([3, 1, 3], "3;1", or loose digits), in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("long")))

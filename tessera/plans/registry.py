@@ -747,3 +747,126 @@ def chunk_answer_recall(spark: SparkSession, sf: str) -> DataFrame:
 @query(_pieces(f"WITH s AS (SELECT doc_id, generate_subscripts(ss, 1) AS pos, list_distinct(SEARCH(unnest(ss))) AS w FROM (SELECT doc_id, SENT({DOC}) AS ss FROM documents)), p AS (SELECT w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS v FROM s) SELECT count(*) AS n_pairs, round(quantile_cont(CASE WHEN len(w || v) > 0 THEN len(list_intersect(w, v)) / len(list_distinct(w || v)) ELSE 0.0 END, 0.2), 9) AS threshold FROM p WHERE v IS NOT NULL"))
 def semantic_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.semantic_threshold(passages(spark, sf))
+
+
+# --- more of ingestion, evaluation and service levels ------------------------------------------------------------------
+
+
+@query(f"WITH g AS (SELECT count(*) AS n, min(doc_id) AS first, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY sha256({DOC}) HAVING count(*) > 1) SELECT row_number() OVER (ORDER BY first) AS group_no, n, ids FROM g")
+def duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.duplicate_members(scan(spark, sf, "documents"))
+
+
+@query("SELECT lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS question, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
+def duplicate_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return scan(spark, sf, "conversations").groupBy(T.question_key(F.col("text")).alias("question")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+SIGNAL_SQL = _pieces(rf"""WITH sw AS (SELECT doc_id, {DOC} AS t, list_transform(TOK({DOC}), lambda w: regexp_replace(w, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g')) AS w FROM documents),
+ sc AS (SELECT doc_id, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: regexp_matches(x, {_q('^' + ingest.ACRONYM + '$')}))) AS acronyms, len(list_filter(w, lambda x: regexp_matches(x, {_q('^' + ingest.HYPHENATED)}))) AS hyphenated, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) AS digit_tokens, length(t) - length(translate(t, '{ingest.GREEK}', '')) AS greek FROM sw),
+ sg AS (SELECT doc_id, acronyms, hyphenated, digit_tokens, greek, round(acronyms / n, 9) AS acronyms_density, round(hyphenated / n, 9) AS hyphenated_density, round(digit_tokens / n, 9) AS digit_tokens_density FROM sc)
+ """)
+
+
+@query(SIGNAL_SQL + "SELECT * FROM sg")
+def signal_features(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.signal_features(scan(spark, sf, "documents"))
+
+
+@query(SIGNAL_SQL + """, o AS (SELECT count(*)::DOUBLE AS "rows", avg(acronyms_density) AS mean_acronyms_density, avg(hyphenated_density) AS mean_hyphenated_density, avg(digit_tokens_density) AS mean_digit_tokens_density, 100 * avg((acronyms > 0)::INT) AS any_acronym_pct, 100 * avg((greek > 0)::INT) AS any_greek_pct FROM sg) SELECT metric, round(value, 6) AS value FROM (UNPIVOT o ON COLUMNS(*) INTO NAME metric VALUE value)""")
+def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.corpus_profile(ingest.signal_features(scan(spark, sf, "documents")))
+
+
+@query(f"WITH {GOLD} SELECT query_id, count(*) AS n_gold, count(*) FILTER (WHERE unit_id % 3 <> 0) AS n_known, count(*) = count(*) FILTER (WHERE unit_id % 3 <> 0) AS usable FROM gold GROUP BY 1")
+def gold_all_known(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.all_known(_gold(spark, sf), passages(spark, sf).select("unit_id").where("unit_id % 3 <> 0"))
+
+
+@query(f"WITH {GOLD}, n AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1) SELECT query_id, n_gold, CASE WHEN n_gold <= 1 THEN 'single-passage' WHEN n_gold = 2 THEN 'two-passage' WHEN n_gold <= 5 THEN 'multi-passage-3-to-5' ELSE 'multi-passage-6-plus' END AS complexity FROM n")
+def evidence_complexity(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.evidence_complexity(_gold(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold")))
+
+
+@query("SELECT event_id, list_sum(list_distinct(list_transform(regexp_extract_all(coalesce(props, '') || ',' || user_id, '[0-9]+'), lambda x: x::BIGINT)))::BIGINT AS total, len(list_distinct(regexp_extract_all(coalesce(props, '') || ',' || user_id, '[0-9]+')))::BIGINT AS n_ids FROM events")
+def parse_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ids = ingest.parse_ids(F.concat(F.coalesce("props", F.lit("")), F.lit(","), F.col("user_id").cast("string")))
+    return scan(spark, sf, "events").select("event_id", ids.alias("ids")).select("event_id", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("ids").cast("long").alias("n_ids"))
+
+
+@query("SELECT lang, avg(n_chars) FILTER (WHERE quality = 1) AS good, avg(n_chars) FILTER (WHERE quality = 0) AS bad FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def quality_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    joined = scan(spark, sf, "documents", "doc_id", "lang", "n_chars").join(scan(spark, sf, "labels"), "doc_id")
+    return joined.groupBy("lang").pivot("quality", [1, 0]).agg(F.avg("n_chars")).select("lang", F.col("1").alias("good"), F.col("0").alias("bad"))
+
+
+EM_WORDS = "list_filter(SEARCH({0}), lambda w: w NOT IN ('a', 'an', 'the'))"
+
+
+@query(_pieces(f"""WITH p AS (SELECT conv_id * 1000 + turn AS pair_id, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations),
+ w AS (SELECT pair_id, {EM_WORDS.format("coalesce(answer, '')")} AS a, {EM_WORDS.format("coalesce(reference, '')")} AS r FROM p WHERE reference IS NOT NULL),
+ s AS (SELECT pair_id, a = r AS em, len(list_intersect(a, r)) AS same, len(list_distinct(a)) AS na, len(list_distinct(r)) AS nr FROM w),
+ f AS (SELECT pair_id, em::INT::DOUBLE AS em, same, CASE WHEN na > 0 THEN same / na ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN same / nr ELSE 0.0 END AS q FROM s)
+ SELECT pair_id, em, round(p, 9) AS precision, round(q, 9) AS recall, round(CASE WHEN same > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END, 9) AS f1 FROM f"""))
+def exact_match(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = scan(spark, sf, "conversations").withColumn("reference", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return evaluation.exact_match(c.where("reference is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("answer"), "reference"))
+
+
+@query(BM25_SQL + f", {GOLD}, ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1), hk AS (SELECT query_id, k, n_gold, (SELECT count(*) FROM bm JOIN gold g USING (query_id, unit_id) WHERE bm.query_id = ng.query_id AND rank <= k) AS found FROM ng, (SELECT unnest([1, 3, 5, 10]) AS k)) SELECT k, round(avg(found / n_gold), 4) AS recall, round(avg((found > 0)::INT), 4) AS hit, count(*) AS n FROM hk GROUP BY 1")
+def metrics_by_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.rank_metrics_at(_bm25(spark, sf), _gold(spark, sf).select("query_id", "unit_id"))
+
+
+@query(CAND_SQL + _pieces(f", {GOLD}, se AS (SELECT query_id, unit_id, len(TOK(text)) AS n_tokens FROM cand WHERE rank <= 4), sj AS (SELECT se.query_id, count(*) AS n, count(g.unit_id) AS hit, sum(CASE WHEN g.unit_id IS NULL THEN n_tokens ELSE 0 END) AS off FROM se LEFT JOIN gold g ON g.query_id = se.query_id AND g.unit_id = se.unit_id GROUP BY 1) SELECT query_id, round(hit / n, 9) AS precision, round(hit / n_gold, 9) AS recall, round(off / 1200, 9) AS waste FROM sj JOIN (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1) USING (query_id)"))
+def evidence_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = _candidates(spark, sf, 4).select("query_id", "unit_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return evaluation.evidence_metrics(chosen, _gold(spark, sf).select("query_id", "unit_id"), evaluation.CONTEXT_TOKENS)
+
+
+CHUNK_BM25 = BM25_SQL.replace(f"SELECT doc_id AS unit_id, {SEARCH.replace('{0}', DOC)} AS w FROM documents", f"SELECT unit_id * 1000 + chunk_index AS unit_id, {SEARCH.replace('{0}', 'text')} AS w FROM pc")
+
+
+@query(_windows_sql(96, 16, "parent_child").replace("WITH d AS", "WITH pd AS").replace("FROM d WHERE", "FROM pd WHERE").replace(" s AS", " ps AS").replace("FROM s)", "FROM ps)").replace(" c AS (", " pc AS (") + ", " + CHUNK_BM25.removeprefix("WITH ") + ", pt AS (SELECT query_id, unit_id // 1000 AS unit_id, min(rank) AS best, count(*) AS n_chunks FROM bm GROUP BY 1, 2) SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY best, unit_id) AS rank, n_chunks FROM pt QUALIFY rank <= 10")
+def parent_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.parent_child_chunks(passages(spark, sf)).select((F.col("unit_id") * 1000 + F.col("chunk_index")).alias("unit_id"), "text")
+    found = retrieval.bm25_search(c, questions(spark, sf), POOL)
+    return retrieval.to_parents(found.withColumn("parent_id", F.floor(F.col("unit_id") / 1000)))
+
+
+@query(HYBRID_SQL + f", {GOLD}, ks AS (SELECT unnest([1, 10, 60, 200]) AS k), fk AS (SELECT k, query_id, unit_id, round(sum(1.0::DOUBLE / (k + rank)), 6) AS score FROM ch, ks GROUP BY ALL), ck AS (SELECT * FROM fk QUALIFY row_number() OVER (PARTITION BY k, query_id ORDER BY score DESC, unit_id) <= 10), hk AS (SELECT k, query_id, count(*) AS hit FROM ck JOIN gold USING (query_id, unit_id) GROUP BY 1, 2), ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1) SELECT ks.k, round(avg(coalesce(hit, 0) / n_gold), 6) AS recall FROM ng CROSS JOIN ks LEFT JOIN hk ON hk.k = ks.k AND hk.query_id = ng.query_id GROUP BY 1")
+def rrf_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.rrf_sensitivity(_channels(spark, sf).select("query_id", "unit_id", "rank"), _gold(spark, sf).select("query_id", "unit_id"))
+
+
+@query(SUPPORT_SQL + ", e2 AS (SELECT query_id, unit_id FROM ev)" + _coverage_sql("e2", "cv") + ", su AS (SELECT query_id, round(avg(best), 6) AS support, round(avg((label = 'SUPPORTED')::INT), 6) AS agreement FROM lb GROUP BY 1), ss AS (SELECT query_id, coverage, support, agreement, round(0.55 * coverage + 0.30 * support + 0.15 * agreement, 6) AS score FROM cv JOIN su USING (query_id)) SELECT *, CASE WHEN score >= 0.75 THEN 'SUFFICIENT' WHEN score >= 0.5 THEN 'WEAK' ELSE 'INSUFFICIENT' END AS label FROM ss")
+def evidence_sufficiency(spark: SparkSession, sf: str) -> DataFrame:
+    _, claims, evidence = _claims(spark, sf)
+    s = evaluation.claim_support(claims, evidence).groupBy("query_id").agg(F.round(F.avg("best"), 6).alias("support"), F.round(F.avg((F.col("label") == "SUPPORTED").cast("int")), 6).alias("agreement"))
+    return evaluation.sufficiency(routing.term_coverage(questions(spark, sf), evidence).select("query_id", "coverage").join(s, "query_id"))
+
+
+@query("SELECT event_id, round(value * 0.001 * (CASE WHEN event_type = 'error' THEN 2 ELSE 1 END) + user_id * 0.0001, 9) AS cost FROM events")
+def request_cost(spark: SparkSession, sf: str) -> DataFrame:
+    e = scan(spark, sf, "events").select("event_id", F.col("user_id").alias("embed"), F.col("value").alias("gen_in"), (F.col("event_type") == "error").alias("repair"))
+    return evaluation.request_cost(e, {"embed": 0.0001, "gen_in": 0.001}).select("event_id", "cost")
+
+
+@query("SELECT DISTINCT user_id AS attempt, least(2.0, 0.2 * pow(2, user_id)) AS wait FROM events WHERE user_id < 12")
+def retry_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.backoff(scan(spark, sf, "events").where("user_id < 12").select(F.col("user_id").alias("attempt")).distinct())
+
+
+@query(SLO_SQL + ", b AS (SELECT p95 AS base_latency, availability AS base_quality, cost AS base_cost FROM s WHERE event_type = 'click'), c AS (SELECT event_type, concat_ws(',', CASE WHEN availability < base_quality THEN 'quality' END, CASE WHEN availability < availability - 0.03 THEN 'grounding' END, CASE WHEN p95 > base_latency * 1.15 THEN 'latency' END, CASE WHEN cost > base_cost * 1.15 THEN 'cost' END) AS failed FROM s, b) SELECT event_type, failed, failed = '' AS promote FROM c")
+def rollout_gate(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluation.slo_report(_requests(spark, sf), {}, "event_type").select("event_type", "availability", "p95", "cost")
+    base = s.where("event_type = 'click'").select(F.col("availability").alias("base_quality"), F.col("p95").alias("base_latency"), F.col("cost").alias("base_cost"))
+    own = [F.col("availability").alias("cand_quality"), *[F.col("availability").alias(f"{side}_{m}") for side in ("base", "cand") for m in ("grounding", "citation")], F.col("p95").alias("cand_latency"), F.col("cost").alias("cand_cost")]
+    return evaluation.rollout(s.crossJoin(F.broadcast(base)).select("event_type", "base_quality", "base_latency", "base_cost", *own)).select("event_type", "failed", "promote")
+
+
+@query(_pieces(f"SELECT conv_id, turn, CASE WHEN regexp_matches(low, {_q(routing.LIST)}) THEN 'list' WHEN regexp_matches(low, {_q(routing.SUMMARY)}) THEN 'summary' WHEN regexp_matches(low, {_q(routing.YES_NO)}) THEN 'yes/no' ELSE 'factoid' END AS type, array_to_string(list_filter({KEY_TERMS}, lambda w, i: list_position({KEY_TERMS}, w) = i), ' ') AS terms FROM (SELECT conv_id, turn, {DOC} AS question, {ASCII_LOWER.format(DOC)} AS low FROM conversations)"))
+def question_types(spark: SparkSession, sf: str) -> DataFrame:
+    return scan(spark, sf, "conversations").select("conv_id", "turn", routing.question_type(F.col("text")).alias("type"), F.array_join(routing.key_terms(F.col("text")), " ").alias("terms"))

@@ -4,7 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.operators import chunking, evaluation, graph, retrieval
+from pyspark.sql import functions as F
+
+from tessera.operators import chunking, evaluation, graph, retrieval, routing
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +124,38 @@ def test_streaming_once(spark, tmp_path):
     src.repartition(2).write.parquet(f"{tmp_path}/in")
     run_once(windowed_latency(read_events(spark, f"{tmp_path}/in", src.schema, 10)), f"{tmp_path}/out", f"{tmp_path}/ck")
     assert isinstance(spark.read.parquet(f"{tmp_path}/out").toPandas(), pd.DataFrame)
+
+
+def test_expand_questions(spark):
+    words = spark.createDataFrame([("ECMO", "extracorporeal membrane oxygenation", 4), ("ECMO", "other", 1), ("EM", "extracorporeal membrane oxygenation", 1), ("TNF", "tumor necrosis factor", 3)], "short string, long string, n long")
+    asked = [(1, "Does ECMO help?"), (2, "extracorporeal membrane oxygenation in tumor necrosis factors"), (3, "nothing"), (4, "ECMO is extracorporeal membrane oxygenation")]
+    got = {r["query_id"]: r["added"] for r in graph.expand_questions(spark.createDataFrame(asked, "query_id long, question string"), words).collect()}
+    assert got == {1: "extracorporeal membrane oxygenation other", 2: "ECMO", 3: "", 4: "other"}
+
+
+def test_large_query_sets_are_joined(spark, monkeypatch):
+    """Beyond the size that is sent to tasks the searches give the same."""
+    p, q = registry.passages(spark, SF), registry.questions(spark, SF)
+    v, a = registry._vectors(spark, SF)
+    few = [sorted(map(str, x.collect())) for x in (retrieval.bm25_search(p, q, 5), retrieval.dense_search(v, a, 5), retrieval.dense_search(v, a, 5, True))]
+    monkeypatch.setattr(retrieval, "SENT_NUMBERS", 0)
+    assert few == [sorted(map(str, x.collect())) for x in (retrieval.bm25_search(p, q, 5), retrieval.dense_search(v, a, 5), retrieval.dense_search(v, a, 5, True))]
+
+
+def test_ivf_recall(spark):
+    assert registry.queries()["ivf_recall"](spark, SF).first()["recall"] >= 0.9
+
+
+def test_packers():
+    assert chunking.fill([5, 5, 5], 10) == [0, 0, 1]
+    assert chunking.fill([5, 5, 2, 3], 10, closing=frozenset({2}), room=11) == [0, 0, 0, 1]
+    assert chunking.fill([2, 2, 2], 10, cut=frozenset({1})) == [0, 1, 1]
+    text = "One two. " + " ".join(["Word"] * 300) + ". End here."
+    assert max(len(u.split()) for u in chunking.recursive(text)) <= 256
+    assert chunking.semantic("Alpha beta gamma. Alpha beta delta. Zeta eta theta.", 0.1, least=0) == ["Alpha beta gamma. Alpha beta delta.", "Zeta eta theta."]
+
+
+def test_question_types(spark):
+    rows = ["List the genes", "Which genes are linked", "How does it work", "Is it so", "BRCA1 role", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "q string").select(routing.question_type(F.col("q"))).collect()]
+    assert got == ["list", "list", "summary", "yes/no", "factoid", "factoid", "factoid"]
