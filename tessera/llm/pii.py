@@ -7,6 +7,7 @@ parser reads outwards to the boundaries of the address, number or account and va
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -112,14 +113,23 @@ def parse_phone(text: str, at: int) -> tuple[int, bool] | None:
     return end, 8 <= sum(c in DIGIT for c in text[at:end]) <= 15
 
 
-def parse_url_account(text: str, at: int, end: int) -> tuple[int, int] | None:
-    """A URL that carries a user or account (user@host, or a path part beginning with ~); ``end`` is past the scheme."""
-    stop = end
-    while stop < len(text) and text[stop] > " " and text[stop] not in "\"'<>":
-        stop += 1
-    rest = text[end:stop]
-    host = rest.split("/", 1)[0]
-    return (at, stop) if ("@" in host[1:] or "/~" in rest) and len(rest) > 2 else None
+URL_END = re.compile(r"[\x00-\x20\"'<>]|\Z")
+
+
+def url_run(text: str, end: int) -> tuple[int, int]:
+    """(where the unbroken text from ``end`` on stops, the last "/~" within it or -1)."""
+    stop = URL_END.search(text, end).start()
+    return stop, text.rfind("/~", end, stop)
+
+
+def parse_url_account(text: str, at: int, end: int, stop: int, tilde: int) -> tuple[int, int] | None:
+    """A URL that carries a user or account (user@host, or a path part beginning with ~).
+
+    ``end`` is past the scheme; ``stop`` and ``tilde`` are those of the unbroken text it stands in.
+    """
+    slash = text.find("/", end, stop)
+    user = text.find("@", end + 1, stop if slash < 0 else slash)
+    return (at, stop) if (user >= 0 or tilde >= end) and stop - end > 2 else None
 
 
 def iban_ok(value: str) -> bool:
@@ -151,7 +161,7 @@ def find_spans(text: str, anchors) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of all spans, in kind order, then by start."""
     found: list[tuple[int, int, int]] = []
     done = [0] * len(KINDS)  # where the next match of a kind may begin
-    digits_to = 0
+    run = (-1, -1)
     for last, (kind, size) in anchors.iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -179,12 +189,15 @@ def find_spans(text: str, anchors) -> list[tuple[int, int, int]]:
                 done[3] = got[0]
                 if got[1]:
                     found.append((3, at, got[0]))
-        else:
-            which = 4 if kind == "scheme" else 5
-            parse = parse_url_account if kind == "scheme" else parse_account
-            if at >= done[which] and (got := parse(text, at, last + 1)):
-                done[which] = got[1]
-                found.append((which, *got))
+        elif kind == "scheme":
+            if last + 1 > run[0]:
+                run = url_run(text, last + 1)
+            if at >= done[4] and (got := parse_url_account(text, at, last + 1, *run)):
+                done[4] = got[1]
+                found.append((4, *got))
+        elif at >= done[5] and (got := parse_account(text, at, last + 1)):
+            done[5] = got[1]
+            found.append((5, *got))
     return sorted(found)
 
 

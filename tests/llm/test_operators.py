@@ -335,6 +335,52 @@ def test_pii_against_patterns():
         assert [s for s in find_spans(t, a) if s[0] < 4] == want, t
 
 
+def test_pii_url_accounts():
+    """URLs with a user or a ~ part, against a plain reading of each scheme; a long unbroken run of URLs takes no longer."""
+    import time
+
+    from tessera.llm.pii import automaton, find_spans
+
+    a, rng = automaton(), random.Random(5)
+
+    def plain(t):
+        out, done = [], 0
+        for m in re.finditer(r"https?://|ftp://", t):
+            rest = re.match(r"[^\x00-\x20\"'<>]*", t[m.end() :]).group()
+            if m.start() >= done and len(rest) > 2 and ("@" in rest.split("/", 1)[0][1:] or "/~" in rest):
+                done = m.end() + len(rest)
+                out.append((4, m.start(), done))
+        return out
+
+    for _ in range(2000):
+        t = "".join(rng.choice(["http://", "ftp://", "a", "@", "/", "~", "/~u", " ", "x.y", "<"]) for _ in range(rng.randrange(12)))
+        assert [s for s in find_spans(t, a) if s[0] == 4] == plain(t), t
+    began = time.time()
+    find_spans("http://a/b" * 100_000, a)
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("name", ["suffix_dedup", "mix", "pii_report", "quality_rules", "hmm_scores", "near_dedup", "exact_dedup"])
+def test_repeated_rows_null_ids_and_clashing_columns(spark, name):
+    """Every row has its result, equal rows have equal ones (kept apart, of which one row of a group has more)."""
+    from tessera.llm.exact_dedup import exact_dedup  # noqa: F401
+    from tessera.llm.hmm import hmm_scores  # noqa: F401
+    from tessera.llm.chosen_path import near_dedup  # noqa: F401
+    from tessera.llm.mixing import mix  # noqa: F401
+    from tessera.llm.pii import pii_report  # noqa: F401
+    from tessera.llm.quality_rules import quality_rules  # noqa: F401
+    from tessera.llm.suffix_dedup import suffix_dedup  # noqa: F401
+
+    own = [t for t in texts() if len(t or "") < 2000]
+    rows = [(None if i % 5 == 0 else i, t, "en", None if i % 4 else "s", True, "x", 1, b"z", 2.0) for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, kept boolean, node string, uid int, digest binary, score double")
+    got = locals()[name](df).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows * 2)
+    if name not in ("mix", "exact_dedup"):
+        each = Counter(map(str, got))
+        assert all(n % 2 == 0 for n in each.values())
+
+
 def test_warc(spark):
     from tessera.llm.warc import round_trip
 
@@ -362,16 +408,52 @@ def test_conv_quality(spark, empty):
     assert score(empty, train(docs, labels)).count() == 0
 
 
-def test_pipeline_stages(spark, docs, tmp_path):
+def test_pipeline_stages(spark, docs, empty):
+    """Each stage against a brute-force version of what it keeps, on rows that repeat and with ids that are null."""
+    import corpus_pipeline
+
+    all_ = dict(enumerate(texts()))
+    judged = brute_quality([(t, ["en", "fr", None][i % 3]) for i, t in all_.items()])
+    good = corpus_pipeline.quality_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in good.collect()) == [i for i, x in enumerate(judged) if x[2]]
+
+    extra = spark.createDataFrame([(None, "one", "en", "s0", 0, 1, "x", 5, 6), (None, "only here", "en", "s0", 0, 1, "x", 5, 6)], SCHEMA)
+    kept = corpus_pipeline.exact_stage(spark, docs.union(docs).union(extra), "")
+    first = {}
+    for i, t in all_.items():
+        first.setdefault(bare(t), []).append((-len(t or ""), i))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted([(False, min(v)[1]) for v in first.values()] + [(True, 0)])
+
+    near = corpus_pipeline.near_stage(spark, docs, "")
+    root = components_of([shingles(t) for t in texts()])
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted(set(root.values()))
+
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert mixed.columns == docs.columns and max(times.values()) <= 2 and all(WORD.search(all_[i] or "") for i in times)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, empty, "").count() == 0, name
+
+
+def test_pipeline_run(spark, docs, tmp_path):
+    """All stages in a row: the packed pieces are the tokens of the rows that the stages before keep."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    kept = corpus_pipeline.exact_stage(spark, docs.union(docs), "")
-    assert kept.columns == docs.columns and kept.count() == len({bare(t) for t in texts()})
-    near = corpus_pipeline.near_stage(spark, kept, "")
-    assert near.count() < kept.count()
-    mixed = corpus_pipeline.mixing_stage(spark, near, "")
-    assert mixed.columns == docs.columns
-    assert corpus_pipeline.quality_stage(spark, docs, "").columns == docs.columns
+    docs.withColumn("kept", docs["id"] > 3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        rows = stage(spark, rows, "")
+    left = Counter(r["doc_id"] for r in rows.collect())
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, n in left.items():
+        ids = len(tok.encode(texts()[i] or "", add_special_tokens=False).ids) + 1
+        want.update({(i, k, min(2048, ids - 2048 * k)): n for k in range(-(-ids // 2048))})
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
 
 
 def components_of(sets):
