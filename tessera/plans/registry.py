@@ -185,12 +185,21 @@ def chunk_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.packed_chunks(passages(spark, sf), "semantic")
 
 
-@query()
+@query(_pieces(rf"""WITH cp AS (SELECT doc_id AS unit_id, list_filter(list_transform(flatten(list_transform(SENT({DOC}), lambda s: regexp_split_to_array(s, '(?i)\s+(?:and|but|while|whereas|although|because|therefore|however)\s+'))), lambda x: regexp_replace(x, '^[ ,;:]+|[ ,;:]+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
+ cw AS (SELECT unit_id, flatten(list_transform(parts, lambda x: list_transform(range(0, greatest(len(TOK(x)), 1), 96), lambda i: TOK(x)[i + 1 : i + 96]))) AS cuts FROM cp), cx AS (SELECT unit_id, unnest(cuts) AS w, generate_subscripts(cuts, 1) - 1 AS chunk_index FROM cw)
+ SELECT unit_id, 'proposition' AS strategy, chunk_index, array_to_string(w, ' ') AS text, len(w) AS n_tokens FROM cx"""))
 def chunk_proposition(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.proposition_chunks(passages(spark, sf))
 
 
-@query()
+def _density(pattern: str) -> str:
+    return f"round(len(list_filter(w, lambda x: regexp_matches(x, '{pattern}'))) / greatest(len(w), 1), 9)"
+
+
+@query(_pieces(rf"""WITH rd AS (SELECT doc_id AS unit_id, TOK({DOC}) AS w, list_transform(SENT({DOC}), lambda x: list_distinct(SEARCH(x))) AS s FROM documents),
+ rs AS (SELECT unit_id, w, len(s) AS n_sentences, list_transform(range(1, len(s)), lambda i: 1 - CASE WHEN len(s[i] || s[i + 1]) > 0 THEN len(list_intersect(s[i], s[i + 1])) / len(list_distinct(s[i] || s[i + 1])) ELSE 0.0 END) AS shifts FROM rd),
+ rp AS (SELECT unit_id, len(w) AS n_tokens, n_sentences, {_density('(?i)' + chunking.RELATION)} AS relation_density, {_density('(?i)' + chunking.NEGATION)} AS negation_density, {_density(chunking.ENTITY)} AS entity_density, round(CASE WHEN n_sentences > 1 THEN list_sum(shifts) / (n_sentences - 1) ELSE 0.0 END, 6) AS topic_shift FROM rs)
+ SELECT *, CASE WHEN n_tokens <= 180 THEN 'recursive' WHEN relation_density >= 0.015 AND negation_density > 0 THEN 'biomedical' WHEN entity_density >= 0.012 THEN 'biomedical' WHEN topic_shift >= 0.65 THEN 'semantic' WHEN n_tokens >= 700 THEN 'parent_child' ELSE 'recursive' END AS route FROM rp"""))
 def chunk_profile_route(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.routing_profile(passages(spark, sf))
 
@@ -380,7 +389,7 @@ DELTA_SQL = PAIR_SQL + ", dd AS (SELECT query_id, ma.ndcg AS x, mb.ndcg AS y, mb
 WINS = "count(*) FILTER (WHERE d > 1e-9) AS wins, count(*) FILTER (WHERE d < -1e-9) AS losses, count(*) FILTER (WHERE abs(d) <= 1e-9) AS ties"
 
 
-@query()
+@query(DELTA_SQL + f" SELECT {WINS}, count(*) AS n, avg(d) AS mean_difference FROM dd")
 def run_compare(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.paired_compare(*_runs(spark, sf), "ndcg")
 
@@ -870,3 +879,16 @@ def rollout_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query(_pieces(f"SELECT conv_id, turn, CASE WHEN regexp_matches(low, {_q(routing.LIST)}) THEN 'list' WHEN regexp_matches(low, {_q(routing.SUMMARY)}) THEN 'summary' WHEN regexp_matches(low, {_q(routing.YES_NO)}) THEN 'yes/no' ELSE 'factoid' END AS type, array_to_string(list_filter({KEY_TERMS}, lambda w, i: list_position({KEY_TERMS}, w) = i), ' ') AS terms FROM (SELECT conv_id, turn, {DOC} AS question, {ASCII_LOWER.format(DOC)} AS low FROM conversations)"))
 def question_types(spark: SparkSession, sf: str) -> DataFrame:
     return scan(spark, sf, "conversations").select("conv_id", "turn", routing.question_type(F.col("text")).alias("type"), F.array_join(routing.key_terms(F.col("text")), " ").alias("terms"))
+
+
+@query(_pieces(rf"""WITH tn AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({DOC}, '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), ' +', ' ', 'g') AS t FROM documents)
+ SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS sha FROM tn"""))
+def normal_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return scan(spark, sf, "documents").select("doc_id", F.sha2(T.normalize_text(F.col("text")), 256).alias("sha"))
+
+
+@query(SUPPORT_SQL + """, vc AS (SELECT query_id, sum(n_citations)::BIGINT AS n_citations, count(*) FILTER (WHERE n_valid = 0) AS n_phantom, count(*) FILTER (WHERE n_valid = 1 AND best >= 0.2) AS n_good, sum(n_valid)::BIGINT AS n_used,
+ count(*) FILTER (WHERE label = 'SUPPORTED') AS n_strong, count(*) FILTER (WHERE label = 'PARTIALLY_SUPPORTED') AS n_weak, count(*) FILTER (WHERE label = 'UNSUPPORTED') AS n_unsupported FROM lb GROUP BY 1)
+ SELECT *, n_good / n_citations AS precision, coalesce(n_used / n_evidence, 0.0) AS recall FROM vc LEFT JOIN (SELECT query_id, count(DISTINCT unit_id) AS n_evidence FROM ev GROUP BY 1) USING (query_id)""")
+def citation_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.validate_citations(*_claims(spark, sf)[1:])

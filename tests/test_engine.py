@@ -11,7 +11,7 @@ from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents benchmark embeddings labels conversations events".split()
-CHECKED = ["canonical_passages", "exact_dup_groups", "structural_features", "schema_report", "quality_gate", "gold_explode", "chunk_fixed", "token_coverage", "bm25_topk", "dense_cosine_topk", "jaccard_rerank", "tree_labels", "token_f1", "latency_summary", "drift_check", "graph_traverse", "route_plan", "claim_support", "answer_metrics", "bootstrap_ci", "paired_bootstrap", "ab_assign"]
+CHECKED = ["canonical_passages", "exact_dup_groups", "structural_features", "schema_report", "quality_gate", "gold_explode", "chunk_fixed", "token_coverage", "bm25_topk", "dense_cosine_topk", "jaccard_rerank", "tree_labels", "token_f1", "latency_summary", "drift_check", "graph_traverse", "route_plan", "claim_support", "answer_metrics", "bootstrap_ci", "paired_bootstrap", "ab_assign", "chunk_proposition", "chunk_profile_route", "citation_metrics", "parent_expansion"]
 
 
 def plain(v):
@@ -159,3 +159,21 @@ def test_question_types(spark):
     rows = ["List the genes", "Which genes are linked", "How does it work", "Is it so", "BRCA1 role", None, ""]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "q string").select(routing.question_type(F.col("q"))).collect()]
     assert got == ["list", "list", "summary", "yes/no", "factoid", "factoid", "factoid"]
+
+
+def test_mmr(spark):
+    """Relevance first, then what is least like what was taken; equal values go to the better rank."""
+    rows = [(1, 10, 1, 1.0, "aa bb cc"), (1, 11, 2, 0.9, "aa bb cc"), (1, 12, 3, 0.8, "dd ee ff"), (1, 13, 4, 0.0, "gg hh"), (2, 20, 1, 0.5, ""), (2, 21, 2, 0.5, "aa")]
+    pool = spark.createDataFrame(rows, "query_id long, unit_id long, rank int, score double, text string")
+    got = {q: [r["unit_id"] for r in retrieval.mmr(pool, 3).where(f"query_id = {q}").orderBy("position").collect()] for q in (1, 2)}
+    assert got == {1: [10, 12, 11], 2: [20, 21]}
+
+
+def test_maxsim(spark):
+    c = spark.createDataFrame([(1, "gene editing", 5, "gene edited"), (1, "gene editing", 6, "nothing here")], "query_id long, question string, unit_id long, text string")
+    from difflib import SequenceMatcher as S
+
+    got = {r["unit_id"]: r["score"] for r in retrieval.maxsim_rerank(c).collect()}
+    ratio = lambda a, words: max(S(None, w, a).ratio() for w in words)
+    want = {u: round((ratio("gene", t.split()) + ratio("editing", t.split())) / 2, 6) for u, t in ((5, "gene edited"), (6, "nothing here"))}
+    assert got == want
