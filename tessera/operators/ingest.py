@@ -78,10 +78,46 @@ def length_statistics(docs: DataFrame, by: str) -> DataFrame:
     return docs.withColumn("k", n).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("mean_words"), F.expr("percentile(k, 0.5)").alias("median_words"), F.expr("percentile(k, 0.95)").alias("p95_words"))
 
 
+#: Bytes of needles that one automaton holds; more are searched in several passes.
+NEEDLE_BYTES = 16 << 20
+
+
+def _containing(needles: list[tuple[int, str]]):
+    import ahocorasick
+    import pyarrow as pa
+
+    def work(batches):
+        of: dict[str, list[int]] = {}
+        for i, text in needles:
+            of.setdefault(text, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for text in filter(None, of):
+            automaton.add_word(text, text)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for unit, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = {t for _, t in automaton.iter(text)} if len(automaton) else set()
+                found += [(i, unit) for t in seen | ({""} & of.keys()) for i in of[t]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["query_id", "unit_id"])
+
+    return work
+
+
 def gold_by_containment(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, unit_id, gold_rank) of the passages that contain a benchmark text; items are a stated query set."""
-    q = F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("needle")))
-    hits = docs.select(F.col("doc_id").alias("unit_id"), "text").join(q, F.col("text").contains(F.col("needle"))).select("query_id", "unit_id")
+    """(query_id, unit_id, gold_rank) of the passages that contain a benchmark text; items are a stated query set.
+
+    All items are looked for in one pass over a passage. Null texts contain nothing and are in nothing.
+    """
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // NEEDLE_BYTES))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("unit_id"), "text")
+    hits = None
+    for block in range(blocks):
+        own = items.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).select("item_id", "text")
+        found = texts.mapInArrow(_containing([(r["item_id"], r["text"]) for r in own.collect()]), "query_id long, unit_id long")
+        hits = found if hits is None else hits.unionByName(found)
     return hits.withColumn("gold_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("unit_id")))
 
 

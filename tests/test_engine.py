@@ -177,3 +177,15 @@ def test_maxsim(spark):
     ratio = lambda a, words: max(S(None, w, a).ratio() for w in words)
     want = {u: round((ratio("gene", t.split()) + ratio("editing", t.split())) / 2, 6) for u, t in ((5, "gene edited"), (6, "nothing here"))}
     assert got == want
+
+
+def test_gold_by_containment(spark, monkeypatch):
+    from tessera.operators import ingest
+
+    docs = spark.createDataFrame([(1, "abc abc"), (2, "xabcy"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "abc"), (11, "bc"), (12, ""), (13, None), (14, "abc"), (15, "nowhere")], "item_id long, text string")
+    want = {(i, u) for i in (10, 11, 14) for u in (1, 2)} | {(12, u) for u in (1, 2, 4)}
+    for size in (16 << 20, 3):
+        monkeypatch.setattr(ingest, "NEEDLE_BYTES", size)
+        got = [(r["query_id"], r["unit_id"]) for r in ingest.gold_by_containment(docs, items).collect()]
+        assert set(got) == want and len(got) == len(want)
