@@ -892,3 +892,6 @@ def normal_forms(spark: SparkSession, sf: str) -> DataFrame:
  SELECT *, n_good / n_citations AS precision, coalesce(n_used / n_evidence, 0.0) AS recall FROM vc LEFT JOIN (SELECT query_id, count(DISTINCT unit_id) AS n_evidence FROM ev GROUP BY 1) USING (query_id)""")
 def citation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.validate_citations(*_claims(spark, sf)[1:])
+
+
+from tessera.plans import reports  # noqa: E402, F401  (registers its queries)
