@@ -230,7 +230,7 @@ def token_coverage(spark: SparkSession, sf: str) -> DataFrame:
 # --- retrieval ---------------------------------------------------------------------------------------------------
 
 BM25_SQL = _pieces(rf"""WITH d AS (SELECT doc_id AS unit_id, SEARCH({DOC}) AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
- p AS (SELECT unit_id, term, len(any_value(w)) AS dl, count(*) AS tf FROM (SELECT unit_id, w, unnest(w) AS term FROM d) GROUP BY 1, 2),
+ p AS (SELECT unit_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT unit_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY 1, 2),
  f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), i AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
  idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
  q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(SEARCH({DOC})) AS term FROM benchmark) GROUP BY 1, 2),
