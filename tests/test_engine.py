@@ -11,7 +11,7 @@ from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents benchmark embeddings labels conversations events".split()
-CHECKED = ["canonical_passages", "exact_dup_groups", "structural_features", "schema_report", "quality_gate", "gold_explode", "chunk_fixed", "token_coverage", "bm25_topk", "dense_cosine_topk", "jaccard_rerank", "tree_labels", "token_f1", "latency_summary", "drift_check", "graph_traverse", "route_plan", "claim_support", "answer_metrics", "bootstrap_ci", "paired_bootstrap", "ab_assign", "chunk_proposition", "chunk_profile_route", "citation_metrics", "parent_expansion"]
+CHECKED = ["canonical_passages", "exact_dup_groups", "structural_features", "schema_report", "quality_gate", "gold_explode", "chunk_fixed", "token_coverage", "bm25_topk", "dense_cosine_topk", "jaccard_rerank", "tree_labels", "token_f1", "latency_summary", "drift_check", "graph_traverse", "route_plan", "claim_support", "answer_metrics", "bootstrap_ci", "paired_bootstrap", "ab_assign", "chunk_proposition", "chunk_profile_route", "citation_metrics", "parent_expansion", "chunk_intrinsic", "chunk_cohesion", "chunk_integrity", "chunk_selection", "canonical_stats", "query_analysis", "judge_calibration"]
 
 
 def plain(v):
