@@ -248,3 +248,44 @@ def provenance_scores(edges: DataFrame, seeds: DataFrame, most: int = 20) -> Dat
     ends = edges.select(F.explode(F.array("src", "dst")).alias("entity"), F.struct("src", "dst", "predicate").alias("edge"), "unit_id")
     e = ends.join(s, "entity").select("query_id", "unit_id", "edge").distinct().groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("support"))
     return e.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("support"), "unit_id"))).where(F.col("place") <= most)
+
+
+def repair_or_abstain(claims: DataFrame, least: float = 0.35) -> DataFrame:
+    """(query_id, decision, n_kept, answer): all claims if each has support of at least `least`, else those that have, else
+    none; a kept claim is followed by its citations in order.
+
+    claims: (query_id, claim_no, claim, citations, best), a few to a question.
+    """
+    cited = F.concat_ws(" ", "claim", F.transform(F.array_sort(F.array_distinct(F.transform("citations", lambda c: c.cast("string")))), lambda c: F.concat(F.lit("["), c, F.lit("]"))))
+    good = F.col("best") >= least
+    kept = F.array_sort(F.collect_list(F.when(good, F.struct("claim_no", cited.alias("cited")))))
+    a = claims.groupBy("query_id").agg(F.count_if(good).alias("n_kept"), F.count(F.lit(1)).alias("n"), kept.alias("kept"))
+    decision = F.when(F.col("n_kept") == F.col("n"), "ANSWER").when(F.col("n_kept") > 0, "REPAIRED").otherwise("ABSTAIN")
+    return a.select("query_id", decision.alias("decision"), "n_kept", F.array_join(F.transform("kept", lambda x: x["cited"]), " ").alias("answer"))
+
+
+def commonest(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, n): the commonest value of each key, the smallest of several; nulls do not count."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("less"), F.col(value).alias("v"))).alias("m")).select(key, F.col("m.v").alias(value), (-F.col("m.less")).alias("n"))
+
+
+def best_config(judged: DataFrame) -> DataFrame:
+    """(query_id, best, evidence_score, margin): the configuration the judge likes most, the first name of several, and how
+    far it is ahead of the one it likes least. judged: (query_id, config, judged)."""
+    j = judged.groupBy("query_id").agg(F.min(F.struct((-F.col("judged")).alias("less"), "config")).alias("m"), F.min("judged").alias("least"))
+    return j.select("query_id", F.col("m.config").alias("best"), (-F.col("m.less")).alias("evidence_score"), F.round(-F.col("m.less") - F.col("least"), 6).alias("margin"))
+
+
+def simulated_requests(spark, loads: tuple[float, ...], n: int = 400, seed: int = 42) -> DataFrame:
+    """(load, i, ok, timed_out, latency, cost): requests at each load, drawn by hashes of seed, load, request and purpose."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("step").cast("string"), F.col("i").cast("string"))
+    u = lambda purpose: F.conv(F.substring(F.md5(F.concat(key, F.lit("|" + purpose))), 1, 8), 16, 10).cast("long") / 4294967296.0
+    step = F.floor(F.col("id") / n).cast("int")
+    r = spark.range(len(loads) * n).select(step.alias("step"), (F.col("id") % n).alias("i")).withColumn("load", F.element_at(F.array(*map(F.lit, loads)), F.col("step") + 1))
+    queue = F.greatest(F.lit(0.0), 180 * F.col("load") * F.col("load") + 70 * (2 * u("queue") - 1))
+    slow = F.when(u("recovery") < 0.25, 650).otherwise(0) + 700 * F.when(u("kind") < 0.5, 1.0).otherwise(1.55)
+    cached = u("cache") < 0.20
+    latency = F.round(F.when(cached, 70 + 40 * u("hit")).otherwise(slow + queue + 120 * u("noise")), 6)
+    late = latency > 5000
+    return r.select("load", "i", (cached | (~late & (u("fail") >= 0.02 * F.col("load")))).alias("ok"), late.alias("timed_out"), latency.alias("latency"), F.when(cached, 0.004).otherwise(0.02).alias("cost"))

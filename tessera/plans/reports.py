@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, graph, ingest, quality, reports, retrieval
+from tessera.operators import chunking, evaluation, graph, ingest, quality, reports, retrieval
 from tessera.plans.registry import (
-    BM25_SQL, CAND_SQL, DELTA_SQL, DOC, GOLD, JACC, METRIC_SQL, MISSING, PAIR_SQL, SEED_SQL, _bm25, _candidates, _gold, _pieces, _q, _requests, _runs, _seeds, oracle_sql, query,
+    BM25_SQL, CAND_SQL, DELTA_SQL, DOC, GOLD, JACC, MISSING, PAIR_SQL, SEED_SQL, SUPPORT_SQL, _bm25, _candidates, _claims, _gold, _pieces, _q, _requests, _runs, _seeds, oracle_sql, query,
 )
 from tessera.sources.tables import passages, questions, scan
 
@@ -212,15 +212,26 @@ def recipe_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return reports.recipe_leaderboard(_both(spark, sf), "bm25")
 
 
-@query(BOTH_SQL + _pieces(f""", jd AS (SELECT 'bm25' AS config, query_id, round(avg({JACC}), 6) AS judged FROM cand WHERE rank <= 3 GROUP BY 2 UNION ALL SELECT 'jaccard', c.query_id, round(avg({JACC}), 6) FROM cand c JOIN jac j ON j.query_id = c.query_id AND j.unit_id = c.unit_id AND j.rank <= 3 GROUP BY 2),
- js AS (SELECT query_id, config, judged, ndcg AS utility FROM rn JOIN jd USING (query_id, config)), jp AS (SELECT query_id, max(utility) AS best, max(utility) FILTER (WHERE config = 'bm25') AS usual, any_value(p) AS picked FROM js JOIN (SELECT query_id, utility AS p FROM js QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY judged DESC, config) = 1) USING (query_id) GROUP BY 1)
- SELECT count(*) AS n, round(avg((best - picked <= 1e-9)::INT), 6) AS oracle_share, round(avg(best - picked), 6) AS regret, round(avg(picked), 6) AS picked, round(avg(usual), 6) AS "default", round(avg(best), 6) AS oracle FROM jp"""))
-def judge_calibration(spark: SparkSession, sf: str) -> DataFrame:
+JUDGED_SQL = _pieces(f"""jd AS (SELECT 'bm25' AS config, query_id, round(avg({JACC}), 6) AS judged FROM cand WHERE rank <= 3 GROUP BY 2 UNION ALL SELECT 'jaccard', c.query_id, round(avg({JACC}), 6) FROM cand c JOIN jac j ON j.query_id = c.query_id AND j.unit_id = c.unit_id AND j.rank <= 3 GROUP BY 2)""")
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
     c = _candidates(spark, sf)
     again = retrieval.rerank(c, "jaccard").where("rank <= 3").select("query_id", "unit_id")
     liked = lambda rows, name: rows.groupBy("query_id").agg(F.round(F.avg(retrieval.jaccard_score(F.col("question"), F.col("text"))), 6).alias("judged")).withColumn("config", F.lit(name))
-    judged = liked(c.where("rank <= 3"), "bm25").unionByName(liked(c.join(again, ["query_id", "unit_id"]), "jaccard"))
-    return reports.calibration(_both(spark, sf).withColumnRenamed("ndcg", "utility").join(judged, ["query_id", "config"]), "bm25")
+    return liked(c.where("rank <= 3"), "bm25").unionByName(liked(c.join(again, ["query_id", "unit_id"]), "jaccard"))
+
+
+@query(BOTH_SQL + f""", {JUDGED_SQL},
+ js AS (SELECT query_id, config, judged, ndcg AS utility FROM rn JOIN jd USING (query_id, config)), jp AS (SELECT query_id, max(utility) AS best, max(utility) FILTER (WHERE config = 'bm25') AS usual, any_value(p) AS picked FROM js JOIN (SELECT query_id, utility AS p FROM js QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY judged DESC, config) = 1) USING (query_id) GROUP BY 1)
+ SELECT count(*) AS n, round(avg((best - picked <= 1e-9)::INT), 6) AS oracle_share, round(avg(best - picked), 6) AS regret, round(avg(picked), 6) AS picked, round(avg(usual), 6) AS "default", round(avg(best), 6) AS oracle FROM jp""")
+def judge_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.calibration(_both(spark, sf).withColumnRenamed("ndcg", "utility").join(_judged(spark, sf), ["query_id", "config"]), "bm25")
+
+
+@query(PAIR_SQL + f", {JUDGED_SQL} SELECT query_id, min(config) FILTER (WHERE judged = m) AS best, any_value(m) AS evidence_score, round(any_value(m) - min(judged), 6) AS margin FROM jd JOIN (SELECT query_id, max(judged) AS m FROM jd GROUP BY 1) USING (query_id) GROUP BY 1")
+def compare_configs(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.best_config(_judged(spark, sf))
 
 
 TAGS_SQL = DELTA_SQL + ", tg AS (SELECT unnest(list_filter([CASE WHEN hit = 0 THEN 'F04' END, CASE WHEN d < -1e-9 THEN 'F08' END, CASE WHEN recall < 1 THEN 'F13' END], lambda t: t IS NOT NULL)) AS failure_code FROM dd JOIN ma USING (query_id))"
@@ -264,3 +275,43 @@ def budget_policy(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, sha256('{\"lang\": ' || to_json(coalesce(lang, '')) || ', \"source\": ' || to_json(coalesce(source, '')) || '}') AS fingerprint FROM documents")
 def version_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return reports.fingerprint(scan(spark, sf, "documents", "doc_id", "lang", "source"), "doc_id", ("lang", "source"))
+
+
+@query(SUPPORT_SQL + """, rc AS (SELECT query_id, claim_no, best >= 0.35 AS good, claim || ' [' || unit_id || ']' AS cited FROM lb JOIN cl USING (query_id, claim_no)),
+ ra AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE good) AS n_kept, coalesce(string_agg(cited, ' ' ORDER BY claim_no) FILTER (WHERE good), '') AS answer FROM rc GROUP BY 1) SELECT query_id, CASE WHEN n_kept = n THEN 'ANSWER' WHEN n_kept > 0 THEN 'REPAIRED' ELSE 'ABSTAIN' END AS decision, n_kept, answer FROM ra""")
+def repaired_answers(spark: SparkSession, sf: str) -> DataFrame:
+    _, claims, evidence = _claims(spark, sf)
+    return reports.repair_or_abstain(claims.join(evaluation.claim_support(claims, evidence).select("query_id", "claim_no", "best"), ["query_id", "claim_no"]))
+
+
+@query("SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1")
+def commonest_language(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.commonest(scan(spark, sf, "documents", "source", "lang"), "source", "lang")
+
+
+LOADS = tuple(round(0.1 * i, 1) for i in range(1, 13))
+
+
+def _u(purpose: str) -> str:
+    return f"('0x' || substr(md5('42|' || step || '|' || i || '|{purpose}'), 1, 8))::BIGINT / 4294967296"
+
+
+LOAD_SQL = f"""WITH r AS (SELECT step, i, ([{', '.join(map(str, LOADS))}]::DOUBLE[])[step + 1] AS load FROM range(12) a(step), range(400) b(i)),
+ l AS (SELECT *, {_u('cache')} < 0.20 AS cached, round(CASE WHEN {_u('cache')} < 0.20 THEN 70 + 40 * {_u('hit')} ELSE CASE WHEN {_u('recovery')} < 0.25 THEN 650 ELSE 0 END + 700 * CASE WHEN {_u('kind')} < 0.5 THEN 1.0::DOUBLE ELSE 1.55::DOUBLE END + greatest(0, 180 * load * load + 70 * (2 * {_u('queue')} - 1)) + 120 * {_u('noise')} END, 6) AS latency FROM r),
+ q AS (SELECT load, cached OR (latency <= 5000 AND {_u('fail')} >= 0.02 * load) AS ok, latency > 5000 AS timed_out, latency, CASE WHEN cached THEN 0.004 ELSE 0.02 END::DOUBLE AS cost FROM l),
+ s AS (SELECT load, count(*) AS n, round(avg(ok::INT), 6) AS availability, round(avg(timed_out::INT), 6) AS timeout_rate, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99, round(avg(cost), 6) AS cost FROM q GROUP BY 1),
+ v AS (SELECT *, concat_ws(',', CASE WHEN availability < 0.995 THEN 'availability' END, CASE WHEN cost > 0.08 THEN 'cost' END, CASE WHEN p95 > 2500 THEN 'p95' END, CASE WHEN timeout_rate > 0.01 THEN 'timeout_rate' END) AS violations FROM s)"""
+
+
+def _loads(spark: SparkSession) -> DataFrame:
+    return evaluation.slo_report(reports.simulated_requests(spark, LOADS), {"availability": 0.995, "timeout_rate": 0.01, "p95": 2500.0, "cost": 0.08}, "load")
+
+
+@query(LOAD_SQL + " SELECT *, violations = '' AS compliant FROM v")
+def load_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _loads(spark)
+
+
+@query(LOAD_SQL + " SELECT max(load) AS capacity, count(*) AS n_loads FROM v WHERE load < coalesce((SELECT min(load) FROM v WHERE violations <> ''), 1e9)")
+def capacity(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.capacity_curve(_loads(spark), "load")

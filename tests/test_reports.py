@@ -103,3 +103,22 @@ def test_graded_metrics_without_gold(spark):
     gold = spark.createDataFrame([(1, 5)], "query_id long, unit_id long")
     got = {r["query_id"]: (r["hit"], r["recall"], r["ndcg"], r["mrr"]) for r in reports.graded_metrics(q, ranked, gold).collect()}
     assert got == {1: (0.0, 0.0, 0.0, round(1 / 12, 9)), 2: (None, None, None, 0.0)}
+
+
+def test_repair_or_abstain(spark):
+    rows = [(1, 1, "A.", [3, 2, 3], 0.9), (1, 2, "B.", [2], 0.1), (2, 1, "C.", [5], 0.35), (3, 1, "D.", [], 0.0)]
+    c = spark.createDataFrame(rows, "query_id long, claim_no int, claim string, citations array<long>, best double")
+    got = {r["query_id"]: (r["decision"], r["n_kept"], r["answer"]) for r in reports.repair_or_abstain(c).collect()}
+    assert got == {1: ("REPAIRED", 1, "A. [2] [3]"), 2: ("ANSWER", 1, "C. [5]"), 3: ("ABSTAIN", 0, "")}
+
+
+def test_commonest_and_best(spark):
+    d = spark.createDataFrame([("s", "b"), ("s", "a"), ("s", None), ("s", None), (None, "c")], "source string, lang string")
+    assert {r["source"]: (r["lang"], r["n"]) for r in reports.commonest(d, "source", "lang").collect()} == {"s": ("a", 1), None: ("c", 1)}
+    j = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", 0.1)], "query_id long, config string, judged double")
+    assert reports.best_config(j).first().asDict() == {"query_id": 1, "best": "a", "evidence_score": 0.5, "margin": 0.4}
+
+
+def test_simulated_requests_repeat(spark):
+    a, b = (sorted(map(tuple, reports.simulated_requests(spark, (0.1, 1.2), 50).collect())) for _ in range(2))
+    assert a == b and len(a) == 100 and {r[0] for r in a} == {0.1, 1.2}
