@@ -232,8 +232,8 @@ def utility_select(pool: DataFrame, k: int = 4) -> DataFrame:
 
     def take(taken: Column, _: Column) -> Column:
         left = F.filter("pool", lambda x: ~F.exists(taken, lambda y: y["rank"] == x["rank"]))
-        best = F.array_min(F.transform(left, lambda x: F.struct((-worth(x, taken)).alias("less"), x["rank"].alias("rank"))))
-        return F.concat(taken, F.filter(left, lambda x: x["rank"] == best["rank"]))
+        best = F.array_min(F.transform(left, lambda x: F.struct((-worth(x, taken)).alias("less"), x["rank"].alias("rank"), x.alias("item"))))
+        return F.concat(taken, F.transform(F.array(best), lambda b: b["item"]))
 
     chosen = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.size("pool"))), F.filter("pool", lambda x: F.lit(False)), take)
     return items.select("query_id", F.posexplode(F.transform(chosen, lambda x: x["unit_id"])).alias("at", "unit_id")).select("query_id", "unit_id", (F.col("at") + 1).alias("place"))
