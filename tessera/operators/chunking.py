@@ -146,7 +146,7 @@ def packed_chunks(passages: DataFrame, strategy: str) -> DataFrame:
 
 def proposition_chunks(passages: DataFrame, most: int = 96) -> DataFrame:
     """Sentences split on conjunctions, trimmed, long ones cut."""
-    trimmed = lambda s: F.regexp_replace(s, r"^[ ,;:]+|[ ,;:]+$", "")
+    trimmed = lambda s: F.regexp_replace(s, r"^[ ,;:]+|[ ,;:]+\z", "")
     parts = F.flatten(F.transform(T.sentences(F.col("text")), lambda s: F.transform(F.split(s, CONJUNCTION), trimmed)))
     words = F.transform(F.filter(parts, lambda p: p != ""), lambda p: T.tokens(p))
     cut = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(most)), lambda i: F.slice(w, i + 1, F.lit(most)))))

@@ -61,28 +61,25 @@ def intrinsic_metrics(passages: DataFrame, chunks: DataFrame) -> DataFrame:
         (1 - F.countDistinct(F.sha2(t, 256)) / n).alias("repeats"), F.sum("n_tokens").alias("n_tokens"),
     )
     source = passages.select("unit_id", F.greatest(F.size(T.tokens(F.col("text"))), F.lit(1)).alias("n_source"))
+    return intrinsic_scores(c.join(source, "unit_id"))
+
+
+def intrinsic_scores(c: DataFrame) -> DataFrame:
+    """The rows of intrinsic_metrics from the shares of closed and small chunks, signals and repeats, and both lengths."""
     score = BOUNDARY * F.col("closed") + SIZE * F.col("small") + SIGNAL * F.col("signal") + UNIQUE * (1 - F.col("repeats"))
     cols = {"boundary_quality": F.col("closed"), "size_compliance": F.col("small"), "biomedical_signal": F.col("signal"), "redundancy": F.col("repeats"), "token_expansion": F.col("n_tokens") / F.col("n_source"), "score": score}
-    return c.join(source, "unit_id").select("unit_id", "strategy", "n_chunks", *[F.round(v, 6).alias(k) for k, v in cols.items()])
+    return c.select("unit_id", "strategy", "n_chunks", *[F.round(v, 6).alias(k) for k, v in cols.items()])
 
 
 def cohesion(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     """(strategy, icc, dcc, rc): mean likeness of neighbouring sentences within a chunk (1 for a single sentence), share of
     a chunk's vocabulary found in its passage, share of chunks that do not open by referring back.
 
-    Vocabulary is matched word by word, so a long passage costs its words and not its chunks times its words.
+    Chunks are brought together with the passages of their id and scored there; their words are not shuffled.
     """
-    vocabulary = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(COHESION_TOKEN), F.lit(0)))
-    c = chunks.select("strategy", "unit_id", "chunk_index", "text", F.transform(T.sentences(F.col("text")), vocabulary).alias("s"))
-    k = F.size("s") - 1
-    alike = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: T.jaccard(F.get("s", i - 1), F.get("s", i)))
-    near = F.when(k > 0, F.aggregate(alike, F.lit(0.0), lambda a, x: a + x) / k).otherwise(F.lit(1.0))
-    words = c.select("strategy", "unit_id", "chunk_index", F.explode(vocabulary(F.col("text"))).alias("w"))
-    known = passages.select("unit_id", F.explode(vocabulary(F.col("text"))).alias("w")).distinct().withColumn("known", F.lit(1))
-    held = words.join(known, ["unit_id", "w"], "left").groupBy("strategy", "unit_id", "chunk_index").agg((F.count("known") / F.count(F.lit(1))).alias("dcc"))
-    one = c.select("strategy", "unit_id", "chunk_index", near.alias("icc"), (~T.word_edges(F.trim("text")).rlike(BACK_REFERENCE)).cast("int").alias("rc"))
-    means = [F.round(F.avg("icc"), 6).alias("icc"), F.round(F.avg(F.coalesce("dcc", F.lit(0.0))), 6).alias("dcc"), F.round(F.avg("rc"), 6).alias("rc")]
-    return one.join(held, ["strategy", "unit_id", "chunk_index"], "left").groupBy("strategy").agg(*means)
+    from tessera.operators import passage_scores
+
+    return passage_scores.cohesion_means(passage_scores.cohesion_sums_of(passages, chunks))
 
 
 def source_signals(passages: DataFrame) -> DataFrame:
