@@ -156,13 +156,10 @@ def proposition_chunks(passages: DataFrame, most: int = 96) -> DataFrame:
 
 def routing_profile(passages: DataFrame) -> DataFrame:
     """Profile of each passage and the chunker chosen for it."""
-    d = passages.select("unit_id", T.tokens(F.col("text")).alias("w"), F.transform(T.sentences(F.col("text")), lambda s: F.array_distinct(T.search_tokens(s))).alias("s"))
-    n = F.greatest(F.size("w"), F.lit(1))
-    density = lambda pattern: F.size(F.filter("w", lambda x: x.rlike(pattern))) / n
-    k = F.size("s") - 1
-    shifts = F.transform(F.sequence(F.lit(1), k), lambda i: 1 - T.jaccard(F.element_at("s", i), F.element_at("s", i + 1)))
-    shift = F.when(k > 0, F.aggregate(shifts, F.lit(0.0), lambda a, x: a + x) / k).otherwise(F.lit(0.0))
-    p = d.select("unit_id", F.size("w").cast("long").alias("n_tokens"), F.size("s").cast("long").alias("n_sentences"), F.round(density("(?i)" + RELATION), 9).alias("relation_density"), F.round(density("(?i)" + NEGATION), 9).alias("negation_density"), F.round(density(ENTITY), 9).alias("entity_density"), F.round(shift, 6).alias("topic_shift"))
+    from tessera.operators import passage_scores
+
+    density = lambda c: F.round(F.col(c) / F.greatest("n_tokens", F.lit(1)), 9)
+    p = passage_scores.profile_counts(passages).select("unit_id", "n_tokens", "n_sentences", density("n_relation").alias("relation_density"), density("n_negation").alias("negation_density"), density("n_entity").alias("entity_density"), F.round("shift", 6).alias("topic_shift"))
     route = (
         F.when(F.col("n_tokens") <= ROUTE_SHORT, "recursive")
         .when((F.col("relation_density") >= ROUTE_RELATION) & (F.col("negation_density") > 0), "biomedical")

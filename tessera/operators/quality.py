@@ -144,10 +144,11 @@ def selection(scores: DataFrame, profile: DataFrame, fallback: str) -> DataFrame
     The agent follows a rule it is sure of if that strategy was tried, else it takes the best score; ties go to the first
     name. A sure route to a strategy that was not tried falls back on the one named.
     """
-    best = scores.groupBy("unit_id").agg(F.max("score").alias("top"), F.map_from_entries(F.collect_list(F.struct("strategy", "score"))).alias("by"))
-    first = scores.join(best, "unit_id").where(F.col("score") == F.col("top")).groupBy("unit_id").agg(F.min("strategy").alias("oracle"))
+    b = scores.groupBy("unit_id").agg(F.max("score").alias("top"), F.collect_list(F.struct("strategy", "score")).alias("all"))
+    oracle = F.array_min(F.transform(F.filter("all", lambda x: x["score"] == F.col("top")), lambda x: x["strategy"]))
+    b = b.select("unit_id", "top", oracle.alias("oracle"), F.map_from_entries("all").alias("by"))
     p = rule_confidence(profile).select("unit_id", "route", "confidence")
-    b = best.join(first, "unit_id").join(p, "unit_id")
+    b = b.join(p, "unit_id")
     sure = F.col("confidence") >= SURE
     tried = F.when(F.map_contains_key("by", F.col("route")), F.col("route")).otherwise(F.lit(fallback))
     b = b.withColumn("choice", F.when(sure, tried).otherwise(F.col("oracle")))

@@ -60,3 +60,21 @@ def test_repeated_ids_go_by_their_chunks(spark):
     one, many = reports._by_repeat(p.unionByName(p.where("unit_id in (3, 4)")).unionByName(spark.createDataFrame([(None, "x"), (None, "x")], "unit_id long, text string")))
     assert {r["unit_id"] for r in many.collect()} == {3, 4} and many.count() == 4 and one.count() == len(TEXTS)
     assert reports._by_repeat(p)[1] is None
+
+
+def test_intrinsic_is_that_of_the_chunks(spark):
+    p = _passages(spark)
+    assert _rows(passage_scores.intrinsic(p, reports.STRATEGIES)) == _rows(quality.intrinsic_metrics(p, reports._units_of(p)))
+
+
+def test_routing_profile_of_odd_texts(spark):
+    got = {r["unit_id"]: r for r in chunking.routing_profile(_passages(spark)).collect()}
+    assert [got[i]["n_tokens"] for i in (0, 2, 5)] == [0, 0, 3] and [got[i]["n_sentences"] for i in (0, 2, 3)] == [0, 1, 3]
+    assert got[3]["topic_shift"] == 1.0 and got[9]["topic_shift"] == pytest.approx(0.5)
+    assert got[4]["negation_density"] == round(1 / 15, 9) and got[4]["relation_density"] == round(1 / 15, 9) and got[4]["entity_density"] == 0.2
+
+
+def test_selection_reads_the_text_twice(spark):
+    """Scores and routes take one pass each over the text (ten scans and a row for each chunk before)."""
+    plan = registry.queries()["chunk_selection"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Relation [") == 2
