@@ -96,7 +96,8 @@ PLAIN = re.compile(f"[!-~{LETTERS}]+")
 
 
 class WordIds(dict):
-    """Ids of white-space separated words as little-endian bytes, kept for words met again.
+    """Ids of white-space separated words as little-endian bytes, kept for words met again: the last ``most`` words that
+    were new, and those before them, from which a word met again comes back.
 
     The tokenizer drops white space and never joins across it. A word of plain Latin letters and printable ASCII is
     lower-cased and split here and only its pieces go through the merges; any other word, or one that may hold a
@@ -107,7 +108,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.whole, self.most = Tokenizer.from_file(path), most
+        self.whole, self.most, self.old = Tokenizer.from_file(path), most, {}
         self.merge = self.whole.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         rest = [b for b in range(256) if b not in set(plain)]
@@ -118,23 +119,28 @@ class WordIds(dict):
         return array("I", [t.id for t in self.merge(units)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters alone are one piece
-            low = word.lower()
-            got = self[low] if low != word else self.piece(word.decode())
-        else:
-            text = word.decode()
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                low = text.lower()
-                parts = PIECES.findall(low)
-                got = b"".join([self[x.encode()] for x in parts]) if len(parts) > 1 else self.piece(low)
-            else:
-                got = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if (got := self.old.get(word)) is None:
+            got = self.find(word)
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = got
         return got
 
+    def find(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one piece
+            low = word.lower()
+            return self[low] if low != word else self.piece(word.decode())
+        if word[:-1].isalpha() and 32 < word[-1] < 127 and not word[-1:].isdigit():  # and so is one sign behind them
+            return self[word[:-1].lower()] + self[word[-1:]]
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            low = text.lower()
+            parts = PIECES.findall(low)
+            return b"".join([self[x.encode()] for x in parts]) if len(parts) > 1 else self.piece(low)
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 def _tokenise(path: str, end_id: int, capacity: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -308,6 +308,21 @@ def test_word_ids():
         assert np.frombuffer(own, "<u4").tolist() == ids.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_keep_words_met_again():
+    """A full table forgot the common words with the rare ones, and they were merged anew."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tessera.llm.packing import WordIds
+
+    ids, merged = WordIds(public_tokenizers.path("word_bpe_49k.json"), most=20), []
+    merge = ids.merge
+    ids.merge = lambda text: merged.append(text) or merge(text)
+    for i in range(300):
+        rare = "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "qz"
+        for w in (rare, "common", "Common,"):
+            assert np.frombuffer(ids[w.encode()], "<u4").tolist() == ids.whole.encode(w, add_special_tokens=False).ids
+    assert merged.count("common") == 1 and len(ids) + len(ids.old) <= 40
+
+
 def test_pii(docs, empty):
     from tessera.llm.pii import pii_report, redact
 
